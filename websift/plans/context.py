@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import extract as X
+from ..operators import index as IX
 from ..sources import derived as D
 from ..sources.tables import table
 
@@ -72,6 +73,18 @@ class Ctx:
                  .withColumnRenamed("page_id", "id"))
         return self.websites.join(meta, "id", "left").join(links, "id", "left")
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        return IX.postings(self.search_docs, IX.text_all_source())
+
+    @cached_property
+    def vocab(self) -> DataFrame:
+        return IX.vocab(self.postings)
+
+    @cached_property
+    def grams(self) -> DataFrame:
+        return IX.vocab_grams(self.vocab)
+
     @cached_property
     def votes(self) -> DataFrame:
         return D.votes(self.spark, self.sf_dir)

@@ -144,3 +144,49 @@ def cte_votes() -> str:
   SELECT event_id, ts, user_id * 2 AS website_id,
          CASE WHEN event_type = 'click' THEN 'up' ELSE 'down' END AS reaction
   FROM events WHERE event_type IN ('click', 'error'))"""
+
+
+def cte_docs(rank_sql: str = "0.0") -> str:
+    """Search documents (needs cte_links): website + metadata[] + external_links[] + tokens."""
+    return f"""docs AS (
+  SELECT p.page_id AS id, p.title, p.text, p.url, s.root AS base_url, CAST({rank_sql} AS DOUBLE) AS rank,
+         'default' AS type_of_website, p.meta AS metadata,
+         (SELECT list(e.domain ORDER BY e.domain) FROM edges e WHERE e.page_id = p.page_id) AS external_links
+  FROM parsed p JOIN site s USING (page_id)),
+doc_tok AS (
+  SELECT id, unnest({general_tokens("concat_ws(' ', title, array_to_string(coalesce(metadata, []), ' '), text, url, base_url, array_to_string(coalesce(external_links, []), ' '), CAST(rank AS VARCHAR), type_of_website)")}) AS t
+  FROM docs)"""
+
+
+def cte_search(queries_rows, rank_sql: str = "0.0") -> str:
+    """Brute-force search: every query term against every token of every document."""
+    qv = values_table(queries_rows, ["query_id", "q"])
+    return f"""{cte_links()},
+{cte_docs(rank_sql)},
+qs AS (SELECT * FROM {qv}),
+qa AS (SELECT query_id,
+         list_distinct(list_filter({general_tokens("coalesce(q, '')")}, lambda t: length(t) BETWEEN 2 AND 15)) AS terms,
+         list_transform(regexp_extract_all(coalesce(q, ''), '[a-zA-Z0-9]+'), lambda w: lower(w)) AS sw
+       FROM qs),
+qterm AS (SELECT query_id, unnest(terms) AS w FROM qa),
+hits AS (SELECT DISTINCT q.query_id, t.id FROM qterm q JOIN doc_tok t ON starts_with(t.t, q.w)),
+sw AS (SELECT query_id, generate_subscripts(sw, 1) AS idx, unnest(sw) AS w FROM qa),
+tfall AS (SELECT s.query_id, s.idx, t.id, count(*) AS tf FROM sw s JOIN doc_tok t ON starts_with(t.t, s.w)
+          WHERE length(s.w) BETWEEN 2 AND 15 GROUP BY ALL),
+keyed AS (
+  SELECT h.query_id, h.id, s.idx,
+         coalesce(f.tf, 0) AS tf_all,
+         CASE WHEN length(s.w) >= 2 THEN len(list_filter({link_tokens('d.url')}, lambda t: starts_with(t, s.w))) ELSE 0 END AS tf_url
+  FROM hits h JOIN docs d ON d.id = h.id
+  LEFT JOIN sw s ON s.query_id = h.query_id
+  LEFT JOIN tfall f ON f.query_id = h.query_id AND f.idx = s.idx AND f.id = h.id),
+per_doc AS (
+  SELECT k.query_id, k.id,
+         coalesce(list(CAST(k.tf_url AS BIGINT) ORDER BY k.idx) FILTER (WHERE k.idx IS NOT NULL), []) AS tf_url,
+         coalesce(list(CAST(k.tf_all AS BIGINT) ORDER BY k.idx) FILTER (WHERE k.idx IS NOT NULL), []) AS tf_all
+  FROM keyed k GROUP BY k.query_id, k.id),
+ranked AS (
+  SELECT p.*, d.url, d.title, d.text, d.rank,
+         row_number() OVER (PARTITION BY p.query_id ORDER BY p.tf_url DESC, d.rank DESC, p.tf_all DESC, p.id ASC) AS pos,
+         count(*) OVER (PARTITION BY p.query_id) AS num_found
+  FROM per_doc p JOIN docs d ON d.id = p.id)"""
