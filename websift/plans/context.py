@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import index as IX
+from ..session import materialize
 from ..sources import derived as D
 from ..sources.tables import table
 
@@ -33,11 +34,12 @@ class Ctx:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return X.parse_pages(self.t("pages"))
+        """Extracted pages (the HTML is parsed once, then dropped)."""
+        return materialize(X.parse_pages(self.t("pages")), "page_id")
 
     @cached_property
     def site(self) -> DataFrame:
-        return D.site(self.spark, self.sf_dir, self.rules)
+        return materialize(D.site(self.spark, self.sf_dir, self.rules), "page_id")
 
     @cached_property
     def outlinks(self) -> DataFrame:
@@ -49,7 +51,7 @@ class Ctx:
 
     @cached_property
     def ext_links(self) -> DataFrame:
-        return X.external_links(self.links, self.site, self.rules)
+        return materialize(X.external_links(self.links, self.site, self.rules), "page_id")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -71,11 +73,11 @@ class Ctx:
                 .select(F.col("website_id").alias("id"), F.transform("m", lambda x: x.metadata_text).alias("metadata")))
         links = (self.edges.groupBy("page_id").agg(F.array_sort(F.collect_list("domain")).alias("external_links"))
                  .withColumnRenamed("page_id", "id"))
-        return self.websites.join(meta, "id", "left").join(links, "id", "left")
+        return materialize(self.websites.join(meta, "id", "left").join(links, "id", "left"), "id")
 
     @cached_property
     def postings(self) -> DataFrame:
-        return IX.postings(self.search_docs, IX.text_all_source())
+        return materialize(IX.postings(self.search_docs, IX.text_all_source()), "term")
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -83,12 +85,19 @@ class Ctx:
 
     @cached_property
     def grams(self) -> DataFrame:
-        return IX.vocab_grams(self.vocab)
+        return materialize(IX.vocab_grams(self.vocab), "gram")
 
     @cached_property
     def votes(self) -> DataFrame:
         return D.votes(self.spark, self.sf_dir)
 
+    @cached_property
+    def ranks(self) -> DataFrame:
+        """(id, rank): website ranks after all votes (10 s cooldown)."""
+        from ..operators import votes as V
+        r = V.final_ranks(self.votes, self.websites.select("id", "rank"), V.COOLDOWN_SECONDS)
+        return materialize(r.select(F.col("website_id").alias("id"), "rank"), "id")
+
     @cached_property
     def queries(self) -> DataFrame:
         return D.queries(self.spark)

@@ -57,3 +57,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="websift-ckpt-", dir=os.environ.get("WEBSIFT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def materialize(df, *partition_cols: str):
+    """Cut lineage: write ``df`` once to the checkpoint folder and read it back.
+
+    With ``partition_cols`` the rows are hash-partitioned by them first; the
+    checkpointed frame keeps that partitioning, so later joins and
+    aggregations on those keys reuse it without another shuffle.
+    """
+    checkpoint_dir(df.sparkSession)
+    if partition_cols:
+        df = df.repartition(*partition_cols)
+    return df.checkpoint(eager=True)
