@@ -23,8 +23,6 @@ spread over its chunks.  Start ranks are within [-10, 10] (store invariant).
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -65,21 +63,26 @@ def cooldown(votes: DataFrame, seconds: float = COOLDOWN_SECONDS,
     blast = blast.withColumn("carry_start", F.last("b_last_start", ignorenulls=True)
                              .over(carry.rowsBetween(Window.unboundedPreceding, -1))).select("b", "carry_start")
     v = v.join(blast, "b").withColumn("session", F.coalesce("sk_in_b", "carry_start"))
-    sess = v.select(F.col("session.t_us").alias("s_t"), F.col("session.event_id").alias("s_id"),
-                    "t_us", "event_id")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_us", "event_id"], kind="mergesort")
-        t = pdf["t_us"].to_numpy()
-        nxt = np.searchsorted(t, t + cd, side="right")
-        ok = np.zeros(len(t), dtype=bool)
-        i = 0
-        while i < len(t):
-            ok[i] = True
-            i = nxt[i]
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "slot_ok": ok})
-
-    flags = sess.groupBy("s_t", "s_id").applyInPandas(chain, "event_id long, slot_ok boolean")
+    # whole sessions are routed by the bucket of their start; within a partition
+    # rows are in time order, so the greedy chain runs over Arrow batches
+    grp = F.floor(F.col("session.t_us") / F.lit(bucket_seconds * 1_000_000))
+    sess = (v.select(grp.alias("g"), "t_us", "event_id")
+            .repartition("g").sortWithinPartitions("g", "t_us", "event_id"))
+
+    def chain(batches):
+        last = None
+        for pdf in batches:
+            t = pdf["t_us"].to_numpy()
+            ok = np.zeros(len(t), dtype=bool)
+            nxt = np.searchsorted(t, t + cd, side="right")
+            i = 0 if last is None else int(np.searchsorted(t, last + cd, side="right"))
+            while i < len(t):
+                ok[i] = True
+                last = int(t[i])
+                i = nxt[i]
+            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "slot_ok": ok})
+
+    flags = sess.mapInPandas(chain, "event_id long, slot_ok boolean")
     return votes.join(flags, "event_id")
 
 
@@ -123,37 +126,44 @@ def rank_fold(votes: DataFrame, websites: DataFrame, seconds: float = COOLDOWN_S
         .select("website_id", "chunk", F.aggregate("steps", init, lambda f, e: step(f, e, F.col("H"), F.col("L"))).alias("f"))
     chunks = chunks.select("website_id", "chunk", "f.a", "f.lo", "f.hi")
 
-    # level 2: entry offset of every chunk (one row per chunk, per website)
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        n, out = 0, []
-        for a, lo, hi in zip(pdf["a"].to_numpy(), pdf["lo"].to_numpy(), pdf["hi"].to_numpy()):
-            out.append(n)
-            n = min(max(n + int(a), int(lo)), int(hi))
-        return pd.DataFrame({"website_id": pdf["website_id"].to_numpy(), "chunk": pdf["chunk"].to_numpy(),
-                             "entry": np.array(out, dtype=np.int64)})
-
-    ent = chunks.groupBy("website_id").applyInPandas(entries, "website_id long, chunk long, entry long")
+    # level 2: entry offset of every chunk, composing chunks in time order per website
+    def entries(batches):
+        site, n = None, 0
+        for pdf in batches:
+            out = np.empty(len(pdf), dtype=np.int64)
+            for k, (w, a, lo, hi) in enumerate(zip(pdf["website_id"].to_numpy(), pdf["a"].to_numpy(),
+                                                    pdf["lo"].to_numpy(), pdf["hi"].to_numpy())):
+                if w != site:
+                    site, n = w, 0
+                out[k] = n
+                n = min(max(n + int(a), int(lo)), int(hi))
+            yield pd.DataFrame({"website_id": pdf["website_id"].to_numpy(), "chunk": pdf["chunk"].to_numpy(),
+                                "entry": out})
+
+    ent = (chunks.repartition("website_id").sortWithinPartitions("website_id", "chunk")
+           .mapInPandas(entries, "website_id long, chunk long, entry long"))
 
     # level 3: replay each chunk from its entry offset
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_us", "event_id"], kind="mergesort")
-        n = int(pdf["entry"].iloc[0])
-        H, L = int(pdf["H"].iloc[0]), int(pdf["L"].iloc[0])
-        r0 = float(pdf["start_rank"].iloc[0])
-        ok, after = [], []
-        for d in pdf["d"].to_numpy():
-            if (d == 1 and n < H) or (d == -1 and n > L):
-                n += int(d)
-                ok.append(True)
-                after.append(r0 + n * STEP)
-            else:
-                ok.append(False)
-                after.append(math.nan)
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "accepted": ok, "rank_after": after})
-
-    played = live.join(ent, ["website_id", "chunk"]).groupBy("website_id", "chunk").applyInPandas(
-        replay, "event_id long, accepted boolean, rank_after double")
+    def replay(batches):
+        key, n = None, 0
+        for pdf in batches:
+            m = len(pdf)
+            ok = np.zeros(m, dtype=bool)
+            after = np.full(m, np.nan)
+            cols = [pdf[c].to_numpy() for c in ("website_id", "chunk", "entry", "H", "L", "start_rank", "d")]
+            for k, (w, ch, e, H, L, r0, d) in enumerate(zip(*cols)):
+                if (w, ch) != key:
+                    key, n = (w, ch), int(e)
+                if (d == 1 and n < H) or (d == -1 and n > L):
+                    n += int(d)
+                    ok[k] = True
+                    after[k] = r0 + n * STEP
+            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "accepted": ok, "rank_after": after})
+
+    played = (live.join(ent, ["website_id", "chunk"])
+              .select("website_id", "chunk", "t_us", "event_id", "entry", "H", "L", "start_rank", "d")
+              .repartition("website_id", "chunk").sortWithinPartitions("website_id", "chunk", "t_us", "event_id")
+              .mapInPandas(replay, "event_id long, accepted boolean, rank_after double"))
     res = v.join(played, "event_id", "left")
     outcome = F.coalesce(F.col("outcome0"), F.when(F.col("accepted"), "accepted").otherwise("out_of_bounds"))
     return res.select("event_id", "ts", "website_id", "reaction", outcome.alias("outcome"),
