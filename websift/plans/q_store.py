@@ -46,7 +46,7 @@ def upsert_sites(spark, sf_dir):
     return snap.select("id", "url", F.round("rank", 6).alias("rank"), F.col("is_new").cast("long").alias("is_new"))
 
 
-_FRESH_META = [("og:type", 0), ("website", 1)]
+_FRESH_META = [("og:website", 0), ("og:title", 1)]
 
 
 @register("replace_children", ops=("U2", "P11", "U7", "J1"), sql=f"""
