@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*"
 LINK_PART_PATTERN = r"[A-Za-z0-9_-]+"
 SORT_WORD_PATTERN = r"[a-zA-Z0-9]+"
+WORD_PART_PATTERN = r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
 # Stop words of the general text chain.
 GENERAL_STOPWORDS = ["and"]
@@ -118,7 +119,7 @@ def whitespace_tokens(text: Column) -> Column:
 
 def word_delimiter_parts(tok: Column) -> Column:
     """Split on case change, letter/digit and punctuation boundaries."""
-    return F.regexp_extract_all(tok, F.lit(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"), 0)
+    return F.regexp_extract_all(tok, F.lit(WORD_PART_PATTERN), 0)
 
 
 def cjk_bigrams(text: Column) -> Column:
