@@ -78,3 +78,18 @@ def query_escape(spark, sf_dir):
     return b.select(F.col("item_id").cast("long").alias("item_id"), TX.escape_query(t).alias("escaped"),
                     F.size(TX.match_words(t)).cast("long").alias("n_match_words"),
                     F.array_join(TX.sort_words(t), " ").alias("sort_words"))
+
+
+@register("json_result", ops=("A8", "P13"), sql=f"""
+WITH {S.cte_search(D.QUERY_BATCH)}
+SELECT CAST(query_id AS BIGINT) AS query_id,
+       to_json(list({{'page_id': id, 'url': url}} ORDER BY pos)) AS json
+FROM ranked WHERE pos <= 10 GROUP BY query_id
+""")
+def json_result(spark, sf_dir):
+    """Each query's top 10 as one JSON array."""
+    from ..operators import export as EX
+    c = ctx(spark, sf_dir)
+    aq = SR.analyse_queries(c.queries)
+    r = SR.ranked(aq, c.search_docs, c.grams, c.postings, rows=10).withColumnRenamed("doc_id", "page_id")
+    return EX.json_results(r, "query_id", "pos", ["page_id", "url"]).select(F.col("query_id").cast("long"), "json")
