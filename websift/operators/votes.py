@@ -92,15 +92,31 @@ def _bounds(start_rank):
     return hi, lo
 
 
+ENTRY_EVENT = -(1 << 62)  # synthetic vote standing for the last accepted one of an earlier batch
+
+
+def with_entry(votes: DataFrame, last_accept_us: int | None) -> DataFrame:
+    """Prepend the previous batch's last accepted vote so the cooldown continues from it."""
+    if last_accept_us is None:
+        return votes
+    spark = votes.sparkSession
+    e = spark.createDataFrame([(ENTRY_EVENT, last_accept_us)], "event_id long, t long") \
+        .select("event_id", F.timestamp_micros("t").alias("ts"), F.lit(None).cast("long").alias("website_id"),
+                F.lit("entry").alias("reaction"))
+    return votes.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "website_id", "reaction").unionByName(e)
+
+
 def rank_fold(votes: DataFrame, websites: DataFrame, seconds: float = COOLDOWN_SECONDS,
-              chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+              chunk_seconds: int = CHUNK_SECONDS, last_accept_us: int | None = None) -> DataFrame:
     """Per-vote outcome and rank after the vote.
 
     ``votes`` (event_id, ts, website_id, reaction 'up'/'down'),
     ``websites`` (id, rank).  Returns (event_id, website_id, reaction, outcome,
     rank_after) where rank_after is NULL unless the vote was accepted.
     """
-    v = cooldown(votes, seconds)
+    v = cooldown(with_entry(votes, last_accept_us), seconds)
+    if last_accept_us is not None:
+        v = v.where(F.col("event_id") != ENTRY_EVENT)
     site_n = websites.groupBy("id").agg(F.count(F.lit(1)).alias("n_sites"), F.first("rank").alias("start_rank"))
     v = v.join(site_n, v.website_id == site_n.id, "left").drop("id")
     outcome0 = (F.when(~F.col("slot_ok"), "too_many_requests")

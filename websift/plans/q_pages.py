@@ -106,3 +106,33 @@ def meta_lists(spark, sf_dir):
     m = ctx(spark, sf_dir).metadata
     return m.select(F.col("website_id").alias("page_id"), F.col("position").cast("long").alias("position"),
                     "metadata_text")
+
+
+_PATH_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
+
+
+@register("sitemap_closure", ops=("A9", "U1", "U3", "G2", "S8"), sql=f"""
+WITH RECURSIVE {S.cte_site()},
+p AS (SELECT root, url, 'https://' || root || '/sitemap-'
+        || coalesce(list_filter(string_split(regexp_extract(url, {S.lit(_PATH_RE)}, 1), '/'), lambda x: x <> '')[1], 'root')
+        || '-' || CAST(CAST(floor(page_id / 50000) AS BIGINT) AS VARCHAR) || '.xml' AS map_url
+      FROM site WHERE root IS NOT NULL),
+roots AS (SELECT DISTINCT root FROM site WHERE root IS NOT NULL),
+nested AS (SELECT DISTINCT 'https://' || root || '/sitemap.xml' AS sitemap_url, map_url AS loc FROM p
+           UNION ALL SELECT 'https://' || root || '/sitemap.xml', 'https://' || root || '/sitemap.xml' FROM roots
+           WHERE root = (SELECT min(root) FROM roots)),
+start AS (SELECT 'https://' || root || '/sitemap.xml' AS u FROM roots UNION SELECT 'http://' || root || '/sitemap.xml' FROM roots),
+walk(sitemap_url, depth) AS (SELECT u, 0 FROM start
+                             UNION SELECT n.loc, w.depth + 1 FROM walk w JOIN nested n USING (sitemap_url) WHERE w.depth < 10)
+SELECT p.url, CAST(min(w.depth) AS BIGINT) AS depth FROM walk w JOIN p ON p.map_url = w.sitemap_url GROUP BY p.url
+""")
+def sitemap_closure(spark, sf_dir):
+    """Page URLs reachable from every site's candidate sitemaps, nested maps followed once."""
+    from ..functions import urls as U
+    from ..operators import sitemaps as SM
+    c = ctx(spark, sf_dir)
+    maps = SM.derive(c.site)
+    start = c.site.where(F.col("root").isNotNull()).select("root").distinct() \
+        .select(F.explode(U.sitemap_candidates(F.col("root"))).alias("sitemap_url"))
+    out = SM.closure(start, SM.parse(maps))
+    return out.select("url", F.col("depth").cast("long").alias("depth"))
