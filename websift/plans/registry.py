@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None, ops: tuple[str, ...] = ()):
 
 def load_all() -> None:
     """Import every plan module so that it registers its queries."""
-    from . import q_pages, q_search, q_votes, q_store, q_facets, q_misc, q_text, q_schema, q_ml, q_stream  # noqa: F401
+    from . import q_pages, q_search, q_votes, q_store, q_facets, q_misc, q_text, q_schema, q_ml, q_stream, q_more  # noqa: F401
