@@ -15,10 +15,30 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# Text tables whose per-row work (regex parsing, tokenising) is CPU heavy.
+TEXT_TABLES = {"pages": "page_id", "documents": "doc_id", "benchmark": "item_id", "conversations": "conv_id"}
+# Below this size a text table is spread over all cores once after the scan:
+# a small file is often a single row group, i.e. a single scan task.  Large
+# inputs already arrive in many splits and are never reshuffled.
+REBALANCE_BYTES = 256 << 20
+
+
+def _input_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name in TEXT_TABLES and _input_bytes(spark, path) < REBALANCE_BYTES:
+        # hash on the id: deterministic, no pre-sort of the wide text rows
+        df = df.repartition(spark.sparkContext.defaultParallelism, TEXT_TABLES[name])
+    return df
 
 
 # Fixed schemas of the relational store (website, metadata, links, bridge,
