@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 # The suffix rules the tests use (exact, wildcard, exception);
 # treating example.* as suffixes makes the label before them the site.
 DEFAULT_SUFFIX_RULES = ["com", "net", "org", "co.uk", "example.com", "example.net",
@@ -82,7 +84,8 @@ def with_root(df: DataFrame, url_col: str, rules: DataFrame, prefix: str = "") -
     hc, rc = f"{prefix}host", f"{prefix}root"
     d = df.withColumn(hc, host(F.col(url_col)))
     roots = registrable_domains(d.select(hc), rules, hc).withColumnRenamed("host", hc).withColumnRenamed("root", rc)
-    return d.join(roots, hc, "left")
+    # one row per distinct host: broadcast back when its measured size allows
+    return d.join(broadcast_if_small(roots), hc, "left")
 
 
 def url_path_parts(url: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import broadcast_if_small
 
 
 def text_all_source(prefix: str = "") -> Column:
@@ -46,6 +47,6 @@ def prefix_tf(words: DataFrame, grams: DataFrame, post: DataFrame, lo: int = TX.
     """Sum of tf over the terms each word is a prefix of (the tf of an edge-gram).
 
     ``words`` has ``keys`` + ``w``; returns ``keys`` + (doc_id, tf)."""
-    w = words.where(F.length("w").between(lo, hi))
-    terms = w.join(grams, w.w == grams.gram).select(*keys, "term")
+    w = broadcast_if_small(words.where(F.length("w").between(lo, hi)))
+    terms = broadcast_if_small(w.join(grams, w.w == grams.gram).select(*keys, "term"))
     return (terms.join(post, "term").groupBy(*keys, "doc_id").agg(F.sum("tf").alias("tf")))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import broadcast_if_small
 from . import index as IX
 
 DEFAULT_ROWS = 10
@@ -31,8 +32,13 @@ def analyse_queries(queries: DataFrame) -> DataFrame:
 
 
 def hits(aq: DataFrame, grams: DataFrame, post: DataFrame) -> DataFrame:
-    qt = aq.select("query_id", F.explode("terms").alias("w"))
-    terms = qt.join(grams, qt.w == grams.gram).select("query_id", "term").distinct()
+    """Distinct (query_id, doc_id) whose text_all has a term the query word is a prefix of.
+
+    The query words and then the matched index terms are the small sides: each
+    is measured and broadcast under the bound, so neither the prefix table nor
+    the postings are shuffled for a query batch."""
+    qt = broadcast_if_small(aq.select("query_id", F.explode("terms").alias("w")))
+    terms = broadcast_if_small(qt.join(grams, qt.w == grams.gram).select("query_id", "term").distinct())
     return terms.join(post, "term").select("query_id", "doc_id").distinct()
 
 
@@ -40,9 +46,9 @@ def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
            rows: int | None = DEFAULT_ROWS, start: int = 0) -> DataFrame:
     """One row per (query_id, hit) with sort keys and ``pos``; ``rows=None`` keeps all."""
     h = hits(aq, grams, post)
-    sw = aq.select("query_id", F.posexplode("sort_words").alias("idx", "w"))
+    sw = broadcast_if_small(aq.select("query_id", F.posexplode("sort_words").alias("idx", "w")))
     tf_all = IX.prefix_tf(sw, grams, post)
-    d = docs.select(F.col("id").alias("doc_id"), "url", "rank", "title", "text")
+    d = docs.select(F.col("id").alias("doc_id"), "url", "rank")
     keyed = (h.join(sw, "query_id", "left")
              .join(tf_all, ["query_id", "idx", "doc_id"], "left")
              .join(d, "doc_id"))
@@ -50,10 +56,10 @@ def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
                     F.size(F.filter(TX.link_tokens(F.col("url")), lambda t: t.startswith(F.col("w"))))) \
         .otherwise(F.lit(0))
     keyed = keyed.withColumn("tf_url", url_tf).withColumn("tf", F.coalesce("tf", F.lit(0)))
-    per_doc = keyed.groupBy("query_id", "doc_id", "url", "rank", "title", "text").agg(
+    per_doc = keyed.groupBy("query_id", "doc_id", "url", "rank").agg(
         F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(),
                                            F.struct("idx", "tf_url", F.col("tf").alias("tf_all"))))).alias("k"))
-    per_doc = per_doc.select("query_id", "doc_id", "url", "rank", "title", "text",
+    per_doc = per_doc.select("query_id", "doc_id", "url", "rank",
                              F.transform("k", lambda x: x.tf_url.cast("long")).alias("tf_url"),
                              F.transform("k", lambda x: x.tf_all.cast("long")).alias("tf_all"))
     w = Window.partitionBy("query_id").orderBy(F.col("tf_url").desc(), F.col("rank").desc(),
@@ -62,4 +68,9 @@ def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
     if rows is not None:
         out = out.where((F.col("pos") > start) & (F.col("pos") <= start + rows))
     found = h.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_found"))
-    return out.join(found, "query_id")
+    out = out.join(found, "query_id")
+    # display fields only for the rows that survived the cut
+    shown = docs.select(F.col("id").alias("doc_id"), "title", "text")
+    if rows is not None:
+        return broadcast_if_small(out).join(shown, "doc_id")
+    return out.join(shown, "doc_id")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,13 +61,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df, *partition_cols: str):
-    """Cut lineage: write ``df`` once to the checkpoint folder and read it back.
+    """Cut lineage: write ``df`` once as a Parquet table in a new folder under the
+    shared checkpoint folder and read it back.
 
-    With ``partition_cols`` the rows are hash-partitioned by them first; the
-    checkpointed frame keeps that partitioning, so later joins and
-    aggregations on those keys reuse it without another shuffle.
+    One job (a reliable ``checkpoint()`` computes its plan twice), durable when
+    executors are lost, and the read-back relation carries its real size, so
+    the planner's broadcast decisions see measured bytes.  With
+    ``partition_cols`` the rows are clustered by those keys in the files.
     """
-    checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", uuid.uuid4().hex)
     if partition_cols:
         df = df.repartition(*partition_cols)
-    return df.checkpoint(eager=True)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# Largest side (rows) that is broadcast after measuring it; beyond it joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
+    """Broadcast hint behind a measured bound.
+
+    The side is materialised first (so counting does not compute it twice) and
+    counted; it is broadcast only when it has at most ``max_rows`` rows,
+    otherwise it is returned unchanged and the join shuffles both sides."""
+    from pyspark.sql import functions as F
+    m = materialize(df)
+    return F.broadcast(m) if m.count() <= max_rows else m
