@@ -31,13 +31,20 @@ def analyse_queries(queries: DataFrame) -> DataFrame:
                           terms.alias("terms"), TX.sort_words(q).alias("sort_words"))
 
 
-def hits(aq: DataFrame, grams: DataFrame, post: DataFrame) -> DataFrame:
+MAX_BATCH = 100_000  # queries per batch whose per-query rows are broadcast without measuring
+
+
+def _small(df: DataFrame, batch_small: bool) -> DataFrame:
+    return F.broadcast(df) if batch_small else df
+
+
+def hits(aq: DataFrame, grams: DataFrame, post: DataFrame, batch_small: bool = True) -> DataFrame:
     """Distinct (query_id, doc_id) whose text_all has a term the query word is a prefix of.
 
-    The query words and then the matched index terms are the small sides: each
-    is measured and broadcast under the bound, so neither the prefix table nor
-    the postings are shuffled for a query batch."""
-    qt = broadcast_if_small(aq.select("query_id", F.explode("terms").alias("w")))
+    The query words (bounded by the batch) and then the matched index terms
+    (measured) are the small sides and are broadcast under their bounds, so
+    neither the prefix table nor the postings are shuffled for a query batch."""
+    qt = _small(aq.select("query_id", F.explode("terms").alias("w")), batch_small)
     terms = broadcast_if_small(qt.join(grams, qt.w == grams.gram).select("query_id", "term").distinct())
     return terms.join(post, "term").select("query_id", "doc_id").distinct()
 
@@ -45,8 +52,9 @@ def hits(aq: DataFrame, grams: DataFrame, post: DataFrame) -> DataFrame:
 def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
            rows: int | None = DEFAULT_ROWS, start: int = 0) -> DataFrame:
     """One row per (query_id, hit) with sort keys and ``pos``; ``rows=None`` keeps all."""
-    h = hits(aq, grams, post)
-    sw = broadcast_if_small(aq.select("query_id", F.posexplode("sort_words").alias("idx", "w")))
+    batch_small = aq.count() <= MAX_BATCH
+    h = hits(aq, grams, post, batch_small)
+    sw = _small(aq.select("query_id", F.posexplode("sort_words").alias("idx", "w")), batch_small)
     tf_all = IX.prefix_tf(sw, grams, post)
     d = docs.select(F.col("id").alias("doc_id"), "url", "rank")
     keyed = (h.join(sw, "query_id", "left")
@@ -71,6 +79,6 @@ def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
     out = out.join(found, "query_id")
     # display fields only for the rows that survived the cut
     shown = docs.select(F.col("id").alias("doc_id"), "title", "text")
-    if rows is not None:
-        return broadcast_if_small(out).join(shown, "doc_id")
+    if rows is not None:  # at most rows x batch size
+        return _small(out, batch_small).join(shown, "doc_id")
     return out.join(shown, "doc_id")

@@ -63,7 +63,7 @@ class Ctx:
 
     @cached_property
     def metadata(self) -> DataFrame:
-        return X.metadata_rows(self.parsed)
+        return materialize(X.metadata_rows(self.parsed))
 
     @cached_property
     def search_docs(self) -> DataFrame:
@@ -81,7 +81,7 @@ class Ctx:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return IX.vocab(self.postings)
+        return materialize(IX.vocab(self.postings))
 
     @cached_property
     def grams(self) -> DataFrame:

@@ -84,9 +84,13 @@ BROADCAST_ROWS = 1_000_000
 def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
     """Broadcast hint behind a measured bound.
 
-    The side is materialised first (so counting does not compute it twice) and
-    counted; it is broadcast only when it has at most ``max_rows`` rows,
-    otherwise it is returned unchanged and the join shuffles both sides."""
+    The side is cached and counted (one job; the join then reads the cache);
+    it is broadcast only when it has at most ``max_rows`` rows, otherwise the
+    cache is dropped and the join shuffles both sides."""
+    from pyspark import StorageLevel
     from pyspark.sql import functions as F
-    m = materialize(df)
-    return F.broadcast(m) if m.count() <= max_rows else m
+    m = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if m.count() <= max_rows:
+        return F.broadcast(m)
+    m.unpersist()
+    return df
