@@ -82,3 +82,19 @@ def test_search_order_on_inline_docs(spark):
     got = sorted((x.query_id, x.pos, x.doc_id) for x in r.collect())
     # url tf first (doc 1), then rank (doc 2 before doc 3 is not a hit: 'nothing' does not start with 'thin')
     assert got == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_model_store_round_trip(spark):
+    from websift.operators import models as MD
+    rows = [(i, ("good clean text about science " if i % 2 else "spam buy cheap pills now ") * 3, i % 2)
+            for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    data = MD.prepare(docs, "doc_id", "text", "quality")
+    store = tempfile.mkdtemp(prefix="websift-models-")
+    m1 = MD.train_or_load("naive_bayes", data, 2, store)
+    m2 = MD.train_or_load("naive_bayes", data, 2, store)  # loaded, not refitted
+    p1 = [r.prediction for r in MD.predict(m1, data.drop("label")).orderBy("id").collect()]
+    p2 = [r.prediction for r in MD.predict(m2, data.drop("label")).orderBy("id").collect()]
+    assert p1 == p2
+    acc = dict(MD.evaluate({"naive_bayes": m2}, data))
+    assert acc["naive_bayes"] == 100.0
