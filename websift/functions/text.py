@@ -89,6 +89,18 @@ def escape_query(q: Column) -> Column:
     return F.regexp_replace(q, QUERY_SPECIALS, r"\\$1")
 
 
+def encode_component(x: Column) -> Column:
+    """Percent-encoding of RFC 3986 (space as %20, unreserved ``-_.~`` kept)."""
+    e = F.url_encode(x)
+    return F.replace(F.replace(F.replace(e, F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")),
+                     F.lit("*"), F.lit("%2A"))
+
+
+def decode_component(x: Column) -> Column:
+    """Percent-decoding; NULL for malformed input."""
+    return F.try_url_decode(x)
+
+
 def match_words(q: Column) -> Column:
     """S3: whitespace-separated query words."""
     return F.filter(F.split(q, r"\s+"), lambda x: x != "")

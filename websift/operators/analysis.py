@@ -20,11 +20,17 @@ def field_tokens(docs: DataFrame) -> DataFrame:
     return out
 
 
+def _postings(toks: DataFrame) -> DataFrame:
+    """(field, doc_id, term, tf): tokens are counted once, statistics read the counts."""
+    return toks.groupBy("field", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def field_stats(toks: DataFrame) -> DataFrame:
     """Per field, documents, distinct terms, tokens and the top term by document frequency."""
-    per = toks.groupBy("field").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("term").alias("terms"),
-                                    F.count(F.lit(1)).alias("tokens"))
-    df = toks.groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
+    post = _postings(toks)
+    df = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    per = df.groupBy("field").agg(F.count(F.lit(1)).alias("terms"), F.sum("cf").alias("tokens")).join(
+        post.select("field", "doc_id").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("docs")), "field")
     top = df.withColumn("rn", F.row_number().over(Window.partitionBy("field").orderBy(F.col("df").desc(), "term"))) \
         .where(F.col("rn") == 1)
     return per.join(top, "field").select("field", F.col("docs").cast("long"), F.col("terms").cast("long"),
@@ -34,7 +40,7 @@ def field_stats(toks: DataFrame) -> DataFrame:
 
 def df_histogram(toks: DataFrame) -> DataFrame:
     """Number of terms per power-of-two document-frequency bucket."""
-    df = toks.groupBy("field", "term").agg(F.countDistinct("doc_id").alias("df"))
+    df = _postings(toks).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     bucket = (F.length(F.bin("df")) - 1).cast("long")
     return df.groupBy("field", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_terms"))
 

@@ -67,7 +67,7 @@ def _sql_highlight(x: str, words: str) -> str:
             f"ELSE {x} END")
 
 
-@register("snippets", ops=("S24", "S25", "S26", "S30", "P13"), sql=f"""
+@register("snippets", ops=("S24", "S25", "S26", "P13"), sql=f"""
 WITH {S.cte_search(D.QUERY_BATCH)},
 win AS (SELECT r.query_id, r.pos, r.id, qa.sw, d.metadata, {_sql_window('d.text', 'qa.sw')} AS st
         FROM ranked r JOIN qa USING (query_id) JOIN docs d ON d.id = r.id WHERE r.pos <= 10),

@@ -67,7 +67,9 @@ def search_batch(spark, sf_dir):
 SELECT CAST(item_id AS BIGINT) AS item_id,
        regexp_replace(text, {S.lit(r'''([\\+\-!():^\[\]"{}~*?|&;/])''')}, '\\\\\\1', 'g') AS escaped,
        CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_match_words,
-       array_to_string(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda w: lower(w)), ' ') AS sort_words
+       array_to_string(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda w: lower(w)), ' ') AS sort_words,
+       url_encode(text) AS encoded,
+       CAST(url_decode(url_encode(text)) = text AS BIGINT) AS round_trip
 FROM benchmark
 """)
 def query_escape(spark, sf_dir):
@@ -77,7 +79,9 @@ def query_escape(spark, sf_dir):
     t = F.col("text")
     return b.select(F.col("item_id").cast("long").alias("item_id"), TX.escape_query(t).alias("escaped"),
                     F.size(TX.match_words(t)).cast("long").alias("n_match_words"),
-                    F.array_join(TX.sort_words(t), " ").alias("sort_words"))
+                    F.array_join(TX.sort_words(t), " ").alias("sort_words"),
+                    TX.encode_component(t).alias("encoded"),
+                    (TX.decode_component(TX.encode_component(t)) == t).cast("long").alias("round_trip"))
 
 
 @register("json_result", ops=("A8", "P13"), sql=f"""

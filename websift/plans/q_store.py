@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators import extract as X
 from ..operators import links as L
 from ..operators import store as ST
 from . import sqlkit as S
@@ -65,7 +66,10 @@ def replace_children(spark, sf_dir):
                                                                   F.lit(p).alias("position"))
                                                          for v, p in _FRESH_META])).alias("m")) \
         .select("website_id", F.col("m.position").alias("position"), F.col("m.metadata_text").alias("metadata_text"))
-    out = ST.replace_children(c.metadata, fresh, "website_id")
+    # The new rows are stamped on their website and get no row id until stored
+    fresh = X.restamp(fresh.select("website_id", "metadata_text", "position"))
+    old = c.metadata.withColumn("id", F.lit(None).cast("long"))
+    out = ST.replace_children(old, fresh, "website_id")
     return out.select("website_id", F.col("position").cast("long").alias("position"), "metadata_text")
 
 
@@ -87,6 +91,11 @@ SELECT 'websites',
        CAST(count(*) FILTER (WHERE page_id IN (SELECT website_id FROM touched)) AS BIGINT),
        CAST(count(*) FILTER (WHERE page_id NOT IN (SELECT website_id FROM touched)) AS BIGINT)
 FROM pages
+UNION ALL
+SELECT 'external_links',
+       CAST(count(*) FILTER (WHERE page_id IN (SELECT website_id FROM touched)) AS BIGINT),
+       CAST(count(*) FILTER (WHERE page_id NOT IN (SELECT website_id FROM touched)) AS BIGINT)
+FROM edges
 """)
 def delete_counts(spark, sf_dir):
     """Cascade delete of the voted websites; affected-row counts per table."""
@@ -103,7 +112,15 @@ def delete_counts(spark, sf_dir):
             F.count(F.when(F.col("_del").isNull(), F.lit(1))).alias("remaining")) \
             .select(F.lit(name).alias("tbl"), "deleted", "remaining")
         res = r if res is None else res.unionByName(r)
-    return res
+    # Link rows (one per stored link of a website) referenced by the victims' bridge rows
+    links = ST.assign_ids(c.edges.select("page_id", "domain"), 0, ["page_id", "domain"])
+    link_rows = links.select("id", F.col("domain").alias("url"))
+    bridge_rows = links.select(F.col("id").alias("id"), F.col("page_id").alias("website_id"), F.col("id").alias("ext_link_id"))
+    kept, gone, _ = ST.delete_links_of_sites(link_rows, bridge_rows, victims)
+    d_cnt = gone.select(F.lit(1).alias("k"), F.lit(1).alias("d")).unionByName(kept.select(F.lit(1).alias("k"), F.lit(0).alias("d")))
+    j9 = d_cnt.agg(F.sum("d").cast("long").alias("deleted"), F.sum(1 - F.col("d")).cast("long").alias("remaining")) \
+        .select(F.lit("external_links").alias("tbl"), "deleted", "remaining")
+    return res.unionByName(j9)
 
 
 @register("integrity_report", ops=("J10", "J11"), sql="""

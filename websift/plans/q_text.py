@@ -103,7 +103,7 @@ def analyze_lang(spark, sf_dir):
     return AN.language_counts(d, stops)
 
 
-@register("token_chains", ops=("S11", "S14", "S19", "S20", "S21", "S22", "S32", "F12", "M13"), sql=f"""
+@register("token_chains", ops=("S11", "S14", "S19", "S20", "S22", "S32", "F12"), sql=f"""
 SELECT p_partkey,
   array_to_string(list_transform({S.drop_stop(S.words('p_name'), TX.ENGLISH_STOPWORDS)}, lambda t: regexp_replace(t, '[''’]s$', '')), ' ') AS english,
   array_to_string(regexp_extract_all(p_brand, {S.lit(TX.WORD_PART_PATTERN)}), ' ') AS parts,
