@@ -33,7 +33,7 @@ from ..session import materialize
 COOLDOWN_SECONDS = 10.0
 UPPER, LOWER = 9.0, -9.0          # an upvote needs rank <= 9, a downvote rank >= -9
 STEP = 1.0
-BUCKET_SECONDS = 3600             # cooldown scan bucket
+BUCKET_SECONDS = 60               # cooldown scan bucket (window partitions; summary table has one row per bucket)
 CHUNK_SECONDS = 86400             # rank-fold chunk
 BIG = 1 << 40
 
