@@ -29,7 +29,7 @@ def stream_votes(spark, sf_dir):
 
 @register("stream_crawl", ops=("T1", "J5", "J6"), sql=f"""
 WITH {S.cte_parsed()}
-SELECT page_id, title, 0.0 AS rank, url FROM parsed
+SELECT page_id, title, CAST(0.0 AS DOUBLE) AS rank, url FROM parsed
 """)
 def stream_crawl(spark, sf_dir):
     """Pages arriving in files, upserted into the website table batch by batch."""
