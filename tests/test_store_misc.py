@@ -98,3 +98,17 @@ def test_model_store_round_trip(spark):
     assert p1 == p2
     acc = dict(MD.evaluate({"naive_bayes": m2}, data))
     assert acc["naive_bayes"] == 100.0
+
+
+def test_snapshot_versions_and_reset(spark):
+    from websift.sources.snapshots import SnapshotStore
+    store = SnapshotStore(spark, tempfile.mkdtemp(prefix="websift-store-"), keep=2)
+    assert store.read("websites").count() == 0
+    for n in (1, 2, 3):
+        store.write("t", spark.range(n))
+    assert store.read("t").count() == 3
+    assert len(store._versions("t")) == 2
+    store.write("websites", spark.createDataFrame([(1, "t", "x", "u", "b", 0.0, "default")], STORE_SCHEMAS["websites"]))
+    assert store.read("websites").count() == 1
+    store.reset(["websites"])
+    assert store.read("websites").count() == 0

@@ -10,6 +10,7 @@ from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import links as L
 from ..operators import store as ST
+from ..sources.snapshots import SnapshotStore
 from . import sqlkit as S
 from .context import ctx
 from .q_votes import _sql_ranks
@@ -44,6 +45,10 @@ def upsert_sites(spark, sf_dir):
         "url", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"),
         F.col("root").alias("base_url"), F.lit("default").alias("type_of_website"))
     snap = ST.upsert_by_url(existing, recrawl.unionByName(fresh))
+    # The new website table becomes visible at once as the store's current version
+    store = SnapshotStore(spark)
+    store.write("websites_upserted", snap)
+    snap = store.read("websites_upserted")
     return snap.select("id", "url", F.round("rank", 6).alias("rank"), F.col("is_new").cast("long").alias("is_new"))
 
 
@@ -190,8 +195,10 @@ def _docs(c, parents=None):
 
 @register("build_docs", ops=("A5", "J1", "J2", "G9"), sql=_docs_sql())
 def build_docs(spark, sf_dir):
-    """Full import: parent rows with their children collected in order."""
-    return _docs(ctx(spark, sf_dir))
+    """Full import: parent rows with their children collected in order, replacing the old snapshot."""
+    store = SnapshotStore(spark)
+    store.write("order_docs", _docs(ctx(spark, sf_dir)))
+    return store.read("order_docs")
 
 
 @register("delta_docs", ops=("A6", "Q14", "U3"), sql=_docs_sql(f"""
