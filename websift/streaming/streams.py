@@ -13,8 +13,12 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import urls as U
 from ..operators import extract as X
@@ -60,41 +64,100 @@ def stage_files(df: DataFrame, folder: str, order_col: str, pieces: int) -> None
         lo = hi
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LIVE_SCHEMA = "event_id long, ts timestamp, t_us long, website_id long, reaction string, d int"
+
+
+class RankProcessor(StatefulProcessor):
+    """Per-website rank in the state store; votes of a micro-batch folded in (ts, event_id) order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rank = handle.getValueState("rank", T.StructType([T.StructField("rank", T.DoubleType())]))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.rank.update((float(initialState["rank"].iloc[0]),))
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t_us", "event_id"], kind="mergesort")
+        r = self.rank.get()[0] if self.rank.exists() else 0.0
+        ok = np.zeros(len(pdf), dtype=bool)
+        after = np.full(len(pdf), np.nan)
+        for k, d in enumerate(pdf["d"].to_numpy()):
+            if (d == 1 and r <= V.UPPER) or (d == -1 and r >= V.LOWER):
+                r += float(d) * V.STEP
+                ok[k] = True
+                after[k] = r
+        self.rank.update((r,))
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "accepted": ok, "rank_after": after})
+
+    def close(self) -> None:
+        pass
+
+
 def run_votes(spark: SparkSession, source: str, schema, websites: DataFrame, root: str,
               seconds: float = V.COOLDOWN_SECONDS) -> DataFrame:
-    """Vote outcomes over a vote file stream, equal to the batch fold on in-order input."""
+    """Vote outcomes over a vote file stream, equal to the batch fold on in-order input.
+
+    Stage 1 (foreachBatch): global cooldown with the last accepted time of the
+    previous batch as entry state, then site existence; decided outcomes are
+    written per epoch, live votes appended to a folder.  Stage 2 (stateful
+    stream over that folder): the bounded rank fold keyed by website, rank kept
+    in the state store and initialised from the website table."""
     out_root, state_root = os.path.join(root, "out"), os.path.join(root, "state")
-    base = websites.select("id", "rank")
+    live_root, ranked_root = os.path.join(root, "live"), os.path.join(root, "ranked")
+    sites = websites.groupBy("id").agg(F.count(F.lit(1)).alias("n_sites"))
 
     def batch(df: DataFrame, epoch: int) -> None:
         prev = [e for e in _epochs(spark, state_root) if e < epoch]
+        last = None
         if prev:
-            st = spark.read.parquet(os.path.join(state_root, f"epoch={prev[-1]}"))
-            last = st.where(F.col("kind") == "last").agg(F.max("value_us")).first()[0]
-            ranks = st.where(F.col("kind") == "rank").select(F.col("id"), F.col("rank"))
-        else:
-            last, ranks = None, base
-        res = V.rank_fold(df, ranks, seconds, last_accept_us=last).persist()
-        res.write.mode("overwrite").parquet(os.path.join(out_root, f"epoch={epoch}"))
-        acc = res.where(F.col("outcome") != "too_many_requests")
-        new_last = acc.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
-        new_last = new_last if new_last is not None and (last is None or new_last > last) else last
-        upd = res.where(F.col("outcome") == "accepted").groupBy("website_id") \
-            .agg(F.max_by("rank_after", F.struct("ts", "event_id")).alias("r"))
-        ranks2 = ranks.join(upd, ranks.id == upd.website_id, "left") \
-            .select("id", F.coalesce("r", "rank").alias("rank"))
-        state = ranks2.select(F.lit("rank").alias("kind"), "id", "rank", F.lit(None).cast("long").alias("value_us"))
-        if new_last is not None:
-            state = state.unionByName(spark.createDataFrame([("last", None, None, int(new_last))],
-                                                            "kind string, id long, rank double, value_us long"))
-        state.write.mode("overwrite").parquet(os.path.join(state_root, f"epoch={epoch}"))
-        res.unpersist()
+            last = spark.read.parquet(os.path.join(state_root, f"epoch={prev[-1]}")).first()["value_us"]
+        v = V.cooldown(V.with_entry(df, last), seconds)
+        if last is not None:
+            v = v.where(F.col("event_id") != V.ENTRY_EVENT)
+        v = v.join(sites, v.website_id == sites.id, "left").drop("id").persist()
+        outcome0 = (F.when(~F.col("slot_ok"), "too_many_requests").when(F.col("n_sites").isNull(), "no_website")
+                    .when(F.col("n_sites") > 1, "ambiguous_website"))
+        v = v.withColumn("outcome", outcome0)
+        v.where(F.col("outcome").isNotNull()).select(
+            "event_id", "website_id", "reaction", "outcome", F.lit(None).cast("double").alias("rank_after")) \
+            .write.mode("overwrite").parquet(os.path.join(out_root, f"epoch={epoch}"))
+        v.where(F.col("outcome").isNull()).select(
+            "event_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"),
+            "website_id", "reaction", F.when(F.col("reaction") == "up", 1).otherwise(-1).alias("d")) \
+            .coalesce(1).write.mode("overwrite").parquet(os.path.join(live_root, f"epoch={epoch:012d}"))
+        new_last = v.where(F.col("slot_ok")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+        if last is not None and (new_last is None or new_last < last):
+            new_last = last
+        spark.createDataFrame([(new_last,)], "value_us long").write.mode("overwrite") \
+            .parquet(os.path.join(state_root, f"epoch={epoch}"))
+        v.unpersist()
 
     q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
          .writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(root, "ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_root).drop("epoch")
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    init = websites.select(F.col("id").alias("website_id"), "rank").groupBy("website_id")
+    # every file that has arrived is one trigger; inside it each website's votes are sorted by time
+    live = spark.readStream.schema(LIVE_SCHEMA).option("recursiveFileLookup", "true").parquet(live_root)
+    ranked = live.groupBy("website_id").transformWithStateInPandas(
+        statefulProcessor=RankProcessor(), outputStructType="event_id long, accepted boolean, rank_after double",
+        outputMode="Append", timeMode="None", initialState=init)
+    q2 = (ranked.writeStream.format("parquet").option("path", ranked_root)
+          .option("checkpointLocation", os.path.join(root, "ckpt_ranked")).outputMode("append")
+          .trigger(availableNow=True).start())
+    q2.awaitTermination()
+
+    decided = spark.read.parquet(out_root).drop("epoch")
+    live_rows = spark.read.option("recursiveFileLookup", "true").parquet(live_root).select("event_id", "website_id", "reaction")
+    folded = spark.read.parquet(ranked_root)
+    scored = live_rows.join(folded, "event_id").select(
+        "event_id", "website_id", "reaction",
+        F.when(F.col("accepted"), "accepted").otherwise("out_of_bounds").alias("outcome"),
+        F.when(F.col("accepted"), F.col("rank_after")).alias("rank_after"))
+    return decided.unionByName(scored)
 
 
 def run_crawl(spark: SparkSession, source: str, schema, rules: DataFrame, root: str) -> DataFrame:
