@@ -44,6 +44,21 @@ def snippet(text: str, words: str) -> Column:
     return body
 
 
+FRAG_SPAN, FALLBACK_CHARS = 30, 100
+
+
+def fragments(text: Column, words: Column) -> Column:
+    """Highlighted fragments around each word's first hit joined by ' &hellip; ';
+    the start of the stored value when no word occurs."""
+    t = F.coalesce(text, F.lit(""))
+    frags = F.filter(F.transform(words, lambda w: F.when(
+        F.instr(F.lower(t), F.lower(w)) > 0,
+        F.substring(t, F.greatest(F.instr(F.lower(t), F.lower(w)) - FRAG_SPAN, F.lit(1)),
+                    F.length(w) + 2 * FRAG_SPAN))), lambda x: x.isNotNull())
+    body = F.when(F.size(frags) > 0, F.array_join(frags, " &hellip; ")).otherwise(F.substring(t, 1, FALLBACK_CHARS))
+    return highlight(body, words)
+
+
 def description(metadata: Column) -> Column:
     """Value after 'description', else after 'og:description' (NULL if neither)."""
     d = F.array_position(metadata, "description")

@@ -62,21 +62,30 @@ def _sql_window(text: str, words: str) -> str:
             f"{{'t': coalesce({text}, ''), 'b': false, 'e': false}})")
 
 
+def _sql_fragments(t: str, words: str) -> str:
+    p = f"instr(lower({t}), lower(w))"
+    frags = (f"list_filter(list_transform({words}, lambda w: CASE WHEN {p} > 0 THEN "
+             f"substring({t}, greatest({p} - {SN.FRAG_SPAN}, 1), length(w) + {2 * SN.FRAG_SPAN}) END), lambda x: x IS NOT NULL)")
+    return (f"(CASE WHEN len({frags}) > 0 THEN array_to_string({frags}, ' &hellip; ') "
+            f"ELSE substring({t}, 1, {SN.FALLBACK_CHARS}) END)")
+
+
 def _sql_highlight(x: str, words: str) -> str:
     return (f"CASE WHEN len({words}) > 0 THEN regexp_replace({x}, '(?i)(' || array_to_string({words}, '|') || ')', '<b>\\1</b>', 'g') "
             f"ELSE {x} END")
 
 
-@register("snippets", ops=("S24", "S25", "S26", "P13"), sql=f"""
+@register("snippets", ops=("S24", "S25", "S26", "S30", "P13"), sql=f"""
 WITH {S.cte_search(D.QUERY_BATCH)},
-win AS (SELECT r.query_id, r.pos, r.id, qa.sw, d.metadata, {_sql_window('d.text', 'qa.sw')} AS st
+win AS (SELECT r.query_id, r.pos, r.id, qa.sw, d.metadata, d.text, {_sql_window('d.text', 'qa.sw')} AS st
         FROM ranked r JOIN qa USING (query_id) JOIN docs d ON d.id = r.id WHERE r.pos <= 10),
 descr AS (SELECT *, CASE WHEN list_position(coalesce(metadata, []), 'description') > 0 THEN metadata[list_position(metadata, 'description') + 1]
                          WHEN list_position(coalesce(metadata, []), 'og:description') > 0 THEN metadata[list_position(metadata, 'og:description') + 1] END AS descr
           FROM win)
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(pos AS BIGINT) AS pos, id AS page_id,
        CASE WHEN descr IS NOT NULL THEN {_sql_highlight('descr', 'sw')}
-            ELSE {_sql_highlight("(CASE WHEN st.b THEN '&hellip; ' ELSE '' END) || st.t || (CASE WHEN st.e THEN ' &hellip;' ELSE '' END)", 'sw')} END AS snippet
+            ELSE {_sql_highlight("(CASE WHEN st.b THEN '&hellip; ' ELSE '' END) || st.t || (CASE WHEN st.e THEN ' &hellip;' ELSE '' END)", 'sw')} END AS snippet,
+       {_sql_highlight(_sql_fragments('coalesce(text, \'\')', 'sw'), 'sw')} AS fragments
 FROM descr
 """)
 def snippets(spark, sf_dir):
@@ -86,7 +95,8 @@ def snippets(spark, sf_dir):
     r = r.join(aq.select("query_id", "sort_words"), "query_id") \
         .join(c.search_docs.select(F.col("id").alias("doc_id"), "metadata"), "doc_id")
     return r.select(F.col("query_id").cast("long"), F.col("pos").cast("long"), F.col("doc_id").alias("page_id"),
-                    SN.result_text("text", "metadata", "sort_words").alias("snippet"))
+                    SN.result_text("text", "metadata", "sort_words").alias("snippet"),
+                    SN.fragments(F.col("text"), F.col("sort_words")).alias("fragments"))
 
 
 def _sql_rule_genre(text: str, meta: str) -> str:
