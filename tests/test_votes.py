@@ -69,3 +69,29 @@ def test_random_streams_match_sequential(spark):
         votes.append((eid, t, rnd.randrange(8), rnd.choice(["up", "up", "down"])))
     for cd in (10.0, 60.0):
         assert run(spark, votes, sites, cd, chunk=3600) == sequential(votes, sites, cd)
+
+
+def sequential_slots(votes, cd):
+    last, out = None, {}
+    for eid, ts, _, _ in sorted(votes, key=lambda v: (v[1], v[0])):
+        t = ts.timestamp()
+        ok = last is None or t - last > cd
+        if ok:
+            last = t
+        out[eid] = ok
+    return out
+
+
+def test_dense_sessions_by_pointer_doubling(spark):
+    rnd = random.Random(11)
+    votes, t = [], T0
+    for eid in range(700):
+        t = t + dt.timedelta(seconds=rnd.choice([0, 1, 2, 3, 5, 7, 9, 10, 11]),
+                             microseconds=rnd.choice([0, 1, 500000]))
+        votes.append((eid, t, rnd.randrange(5), rnd.choice(["up", "down"])))
+    votes.append((900, t + dt.timedelta(seconds=60), 1, "up"))      # a second session
+    vdf = spark.createDataFrame(votes, "event_id long, ts timestamp, website_id long, reaction string")
+    want = sequential_slots(votes, 10.0)
+    for hot in (0, 10 ** 9):   # every session doubled / every session scanned
+        got = {r.event_id: r.slot_ok for r in V.cooldown(vdf, 10.0, hot_rows=hot).collect()}
+        assert got == want

@@ -36,6 +36,7 @@ STEP = 1.0
 BUCKET_SECONDS = 60               # cooldown scan bucket (window partitions; summary table has one row per bucket)
 CHUNK_SECONDS = 86400             # rank-fold chunk
 BIG = 1 << 40
+HOT_SESSION_ROWS = 2_000_000      # sessions above this size are split by pointer doubling
 
 
 def _ordered(votes: DataFrame) -> DataFrame:
@@ -43,8 +44,13 @@ def _ordered(votes: DataFrame) -> DataFrame:
 
 
 def cooldown(votes: DataFrame, seconds: float = COOLDOWN_SECONDS,
-             bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Add ``slot_ok``: the vote passes the global cooldown."""
+             bucket_seconds: int = BUCKET_SECONDS, hot_rows: int | None = None) -> DataFrame:
+    """Add ``slot_ok``: the vote passes the global cooldown.
+
+    Sessions with more than ``hot_rows`` votes (a dense stream without a gap
+    longer than the cooldown) are resolved by pointer doubling instead of one
+    sequential scan."""
+    hot_rows = HOT_SESSION_ROWS if hot_rows is None else hot_rows
     cd = int(round(seconds * 1_000_000))
     v = _ordered(votes).withColumn("b", F.floor(F.col("t_us") / F.lit(bucket_seconds * 1_000_000)))
     in_b = Window.partitionBy("b").orderBy("t_us", "event_id")
@@ -63,9 +69,19 @@ def cooldown(votes: DataFrame, seconds: float = COOLDOWN_SECONDS,
     blast = blast.withColumn("carry_start", F.last("b_last_start", ignorenulls=True)
                              .over(carry.rowsBetween(Window.unboundedPreceding, -1))).select("b", "carry_start")
     v = v.join(blast, "b").withColumn("session", F.coalesce("sk_in_b", "carry_start"))
+    v = v.select(F.col("session.t_us").alias("s_t"), F.col("session.event_id").alias("s_id"), "t_us", "event_id")
+    v = materialize(v)
+    sizes = v.groupBy("s_t", "s_id").agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.where(F.col("n") > hot_rows)
+    hot_info = hot.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).first()
+    doubled = None
+    if hot_info["k"]:
+        hv = v.join(hot.select("s_t", "s_id"), ["s_t", "s_id"], "left_semi")
+        v = v.join(hot.select("s_t", "s_id"), ["s_t", "s_id"], "left_anti")
+        doubled = _chain_by_doubling(hv, cd, int(hot_info["m"]))
     # whole sessions are routed by the bucket of their start; within a partition
     # rows are in time order, so the greedy chain runs over Arrow batches
-    grp = F.floor(F.col("session.t_us") / F.lit(bucket_seconds * 1_000_000))
+    grp = F.floor(F.col("s_t") / F.lit(bucket_seconds * 1_000_000))
     sess = (v.select(grp.alias("g"), "t_us", "event_id")
             .repartition("g").sortWithinPartitions("g", "t_us", "event_id"))
 
@@ -83,9 +99,55 @@ def cooldown(votes: DataFrame, seconds: float = COOLDOWN_SECONDS,
             yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "slot_ok": ok})
 
     flags = sess.mapInPandas(chain, "event_id long, slot_ok boolean")
+    if doubled is not None:
+        flags = flags.unionByName(doubled)
     return votes.join(flags, "event_id")
 
 
+def _chain_by_doubling(ev: DataFrame, cd: int, max_rows: int) -> DataFrame:
+    """Greedy cooldown chain of large sessions without a sequential scan.
+
+    ``ev`` (s_t, s_id, t_us, event_id).  next(e) is the first vote of the same
+    session later than t_e + cd: targets and votes are merged in time order per
+    (session, cooldown-length bucket) and a forward ``first`` finds it; a target
+    with none left in its bucket takes the first vote of the next non-empty
+    bucket (carry over the one-row-per-bucket summary).  Jump tables
+    J_{k+1} = J_k o J_k are built with self-joins, and the accepted chain from
+    each session start is expanded in K rounds (each round doubles the known
+    prefix).  Work O(n log n), every step a distributed join."""
+    sess = ["s_t", "s_id"]
+    b = F.floor(F.col("time") / F.lit(cd))
+    votes_ = ev.select(*sess, F.col("t_us").alias("time"), F.lit(0).alias("kind"), "event_id",
+                       F.col("event_id").alias("src"))
+    targets = ev.select(*sess, (F.col("t_us") + F.lit(cd)).alias("time"), F.lit(1).alias("kind"),
+                        F.lit(None).cast("long").alias("event_id"), F.col("event_id").alias("src"))
+    u = votes_.unionByName(targets).withColumn("b", b)
+    fwd = Window.partitionBy(*sess, "b").orderBy("time", "kind", "src") \
+        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    u = u.withColumn("nxt", F.first(F.when(F.col("kind") == 0, F.col("event_id")), ignorenulls=True).over(fwd))
+    firsts = u.where(F.col("kind") == 0).groupBy(*sess, "b").agg(
+        F.min_by("event_id", F.struct("time", "event_id")).alias("first_id"))
+    carry_w = Window.partitionBy(*sess).orderBy("b").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.withColumn("later", F.first("first_id", ignorenulls=True).over(carry_w)).select(*sess, "b", "later")
+    nxt = (u.where(F.col("kind") == 1).join(firsts, sess + ["b"], "left")
+           .select(F.col("src").alias("id"), F.coalesce("nxt", "later").alias("j")))
+    jumps = [materialize(nxt, "id")]
+    levels = max(1, (max_rows).bit_length())
+    for _ in range(1, levels):
+        prev = jumps[-1]
+        nj = prev.alias("a").join(prev.alias("b2"), F.col("a.j") == F.col("b2.id"), "left") \
+            .select(F.col("a.id").alias("id"), F.col("b2.j").alias("j"))
+        jumps.append(materialize(nj, "id"))
+    starts = ev.select(F.col("s_id").alias("id")).distinct()
+    chain = starts
+    for k in range(levels - 1, -1, -1):
+        step = chain.join(jumps[k], "id").where(F.col("j").isNotNull()).select(F.col("j").alias("id"))
+        chain = materialize(chain.unionByName(step).distinct())
+    return ev.select("event_id").join(chain.select(F.col("id").alias("event_id"), F.lit(True).alias("slot_ok")),
+                                      "event_id", "left") \
+        .select("event_id", F.coalesce("slot_ok", F.lit(False)).alias("slot_ok"))
+
+
 def _bounds(start_rank):
     hi = F.floor(F.lit(UPPER) - start_rank).cast("long") + 1
     lo = F.ceil(F.lit(LOWER) - start_rank).cast("long") - 1
