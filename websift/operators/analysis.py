@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import broadcast_if_small
 
 ALNUM = r"^[\p{L}\p{N}]+$"
 
@@ -99,8 +100,8 @@ def spelling(words: DataFrame, vocab: DataFrame, max_dist: int = 2) -> DataFrame
     Candidates share the first letter and differ in length by at most
     ``max_dist``: an equi-join on (first letter, length) with the small word
     side expanded over the allowed lengths."""
-    miss = words.join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
-    wk = miss.select("word", F.substring("word", 1, 1).alias("c1"),
+    miss = broadcast_if_small(words).join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
+    wk = broadcast_if_small(miss).select("word", F.substring("word", 1, 1).alias("c1"),
                      F.explode(F.sequence(F.length("word") - max_dist, F.length("word") + max_dist)).alias("len"))
     vk = vocab.select("term", "df", F.substring("term", 1, 1).alias("c1"), F.length("term").alias("len"))
     cand = wk.join(vk, ["c1", "len"]).withColumn("distance", F.levenshtein("word", "term")) \
