@@ -86,7 +86,7 @@ def cascade_delete(parents: DataFrame, children: dict[str, tuple[DataFrame, str]
                    key: str = "id") -> dict[str, DataFrame]:
     """Delete parents and, by anti-join on their foreign keys, their children."""
     d = deleted.select(key).distinct()
-    out = {"parents": parents.join(d, key, "left_anti")}
+    out = {"parents": delete_keys(parents, d, key)[0]}
     for name, (df, fk) in children.items():
         out[name] = df.join(d.withColumnRenamed(key, fk), fk, "left_anti")
     return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import index as IX
+from ..operators import store as ST
 from ..session import materialize
 from ..sources import derived as D
 from ..sources.tables import table
@@ -68,12 +69,10 @@ class Ctx:
     @cached_property
     def search_docs(self) -> DataFrame:
         """Website + metadata[] + external_links[] (one row per website)."""
-        meta = (self.metadata.groupBy("website_id")
-                .agg(F.array_sort(F.collect_list(F.struct("position", "metadata_text"))).alias("m"))
-                .select(F.col("website_id").alias("id"), F.transform("m", lambda x: x.metadata_text).alias("metadata")))
-        links = (self.edges.groupBy("page_id").agg(F.array_sort(F.collect_list("domain")).alias("external_links"))
-                 .withColumnRenamed("page_id", "id"))
-        return materialize(self.websites.join(meta, "id", "left").join(links, "id", "left"), "id")
+        docs = ST.assemble(self.websites, self.metadata, "id", "website_id", "position", "metadata_text", "metadata")
+        docs = ST.assemble(docs, self.edges.withColumn("pos", F.col("domain")), "id", "page_id", "pos", "domain",
+                           "external_links")
+        return materialize(docs, "id")
 
     @cached_property
     def postings(self) -> DataFrame:
