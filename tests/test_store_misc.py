@@ -3,8 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from websift.functions.stem import porter
 from websift.operators import search as SR
 from websift.operators import index as IX

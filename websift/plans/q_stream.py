@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..streaming import streams as ST
-from . import q_pages, q_text, q_votes  # noqa: F401 - oracle text reused
+from . import q_text, q_votes  # noqa: F401 - register the oracle text reused below
 from . import sqlkit as S
 from .context import ctx
 from .registry import ORACLE, register

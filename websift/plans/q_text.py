@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stopwords as SW
 from ..functions import text as TX
 from ..operators import analysis as AN
 from ..operators import index as IX
-from ..sources import derived as D
 from . import sqlkit as S
 from .context import ctx
 from .registry import register
