@@ -143,3 +143,19 @@ def did_you_mean(spark, sf_dir):
     c = ctx(spark, sf_dir)
     words = spark.createDataFrame([(w,) for w in SPELL_WORDS], "word string")
     return AN.spelling(words, c.vocab)
+
+
+@register("stop_filter", ops=("S12", "S14", "S11"), sql=f"""
+SELECT doc_id,
+       CAST(len({S.words('text')}) AS BIGINT) AS n_words,
+       CAST(len({S.general_tokens('text')}) AS BIGINT) AS n_general,
+       CAST(len({S.drop_stop(S.words('text'), TX.ENGLISH_STOPWORDS)}) AS BIGINT) AS n_english
+FROM documents
+""")
+def stop_filter(spark, sf_dir):
+    """Tokens per document before stop words, after the general list and after the English list."""
+    d = ctx(spark, sf_dir).t("documents")
+    t = F.col("text")
+    return d.select("doc_id", F.size(TX.words(t)).cast("long").alias("n_words"),
+                    F.size(TX.general_tokens(t)).cast("long").alias("n_general"),
+                    F.size(TX.english_tokens(t)).cast("long").alias("n_english"))
