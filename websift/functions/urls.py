@@ -60,23 +60,20 @@ def registrable_domains(hosts: DataFrame, rules: DataFrame, host_col: str = "hos
     h = (hosts.select(F.col(host_col).alias("host")).where(F.col("host").isNotNull())
          .distinct()
          .withColumn("labels", F.split("host", r"\."))
-         .withColumn("n", F.size("labels")))
-    cand = (h.where(F.col("n") <= MAX_HOST_LABELS)
-            .select("host", "labels", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-            .select("host", "n", "k",
-                    F.array_join(F.slice("labels", F.col("n") - F.col("k") + 1, F.col("k")), ".").alias("suffix")))
-    m = cand.join(F.broadcast(rules), cand.suffix == rules.key, "inner")
+         .withColumn("n", F.size("labels"))
+         .where(F.col("n") <= MAX_HOST_LABELS))
+    cand = h.select("host", "labels", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")) \
+        .withColumn("suffix", F.array_join(F.slice("labels", F.col("n") - F.col("k") + 1, F.col("k")), "."))
+    # left join: a host without any matching rule keeps its rows (default suffix = last label)
+    m = cand.join(F.broadcast(rules), cand.suffix == rules.key, "left")
     ps = F.when(m.kind == "exact", m.k).when((m.kind == "wild") & (m.n > m.k), m.k + 1)
     per_host = m.groupBy("host").agg(
-        F.max(F.when(m.kind == "exc", m.k - 1)).alias("exc_len"),
-        F.max(ps).alias("rule_len"))
-    out = (h.join(per_host, "host", "left")
-           .withColumn("ps_len", F.coalesce("exc_len", "rule_len", F.lit(1)))
-           .select("host", F.when(~F.col("host").rlike(IPV4_PATTERN) & (F.col("n") > F.col("ps_len")),
-                                  F.array_join(F.slice("labels", F.col("n") - F.col("ps_len"),
-                                                       F.col("ps_len") + 1), "."))
-                   .alias("root")))
-    return out
+        F.max(F.when(m.kind == "exc", m.k - 1)).alias("exc_len"), F.max(ps).alias("rule_len"),
+        F.first("labels").alias("labels"), F.first("n").alias("n"))
+    ps_len = F.coalesce("exc_len", "rule_len", F.lit(1))
+    return per_host.select("host", F.when(~F.col("host").rlike(IPV4_PATTERN) & (F.col("n") > ps_len),
+                                          F.array_join(F.slice("labels", F.col("n") - ps_len, ps_len + 1), "."))
+                           .alias("root"))
 
 
 def with_root(df: DataFrame, url_col: str, rules: DataFrame, prefix: str = "") -> DataFrame:
