@@ -31,20 +31,20 @@ def analyse_queries(queries: DataFrame) -> DataFrame:
                           terms.alias("terms"), TX.sort_words(q).alias("sort_words"))
 
 
-MAX_BATCH = 100_000  # queries per batch whose per-query rows are broadcast without measuring
+MAX_BATCH = 100_000  # batches up to this many queries broadcast their top-N rows (rows x batch)
 
 
 def _small(df: DataFrame, batch_small: bool) -> DataFrame:
     return F.broadcast(df) if batch_small else df
 
 
-def hits(aq: DataFrame, grams: DataFrame, post: DataFrame, batch_small: bool = True) -> DataFrame:
+def hits(aq: DataFrame, grams: DataFrame, post: DataFrame) -> DataFrame:
     """Distinct (query_id, doc_id) whose text_all has a term the query word is a prefix of.
 
-    The query words (bounded by the batch) and then the matched index terms
-    (measured) are the small sides and are broadcast under their bounds, so
+    The query words and then the matched index terms (both measured) are the
+    small sides and are broadcast under their bounds, so
     neither the prefix table nor the postings are shuffled for a query batch."""
-    qt = _small(aq.select("query_id", F.explode("terms").alias("w")), batch_small)
+    qt = broadcast_if_small(aq.select("query_id", F.explode("terms").alias("w")))
     terms = broadcast_if_small(qt.join(grams, qt.w == grams.gram).select("query_id", "term").distinct())
     return terms.join(post, "term").select("query_id", "doc_id").distinct()
 
@@ -53,8 +53,8 @@ def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
            rows: int | None = DEFAULT_ROWS, start: int = 0) -> DataFrame:
     """One row per (query_id, hit) with sort keys and ``pos``; ``rows=None`` keeps all."""
     batch_small = aq.count() <= MAX_BATCH
-    h = hits(aq, grams, post, batch_small)
-    sw = _small(aq.select("query_id", F.posexplode("sort_words").alias("idx", "w")), batch_small)
+    h = hits(aq, grams, post)
+    sw = broadcast_if_small(aq.select("query_id", F.posexplode("sort_words").alias("idx", "w")))
     tf_all = IX.prefix_tf(sw, grams, post)
     d = docs.select(F.col("id").alias("doc_id"), "url", "rank")
     keyed = (h.join(sw, "query_id", "left")
