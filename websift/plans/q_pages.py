@@ -136,3 +136,14 @@ def sitemap_closure(spark, sf_dir):
         .select(F.explode(U.sitemap_candidates(F.col("root"))).alias("sitemap_url"))
     out = SM.closure(start, SM.parse(maps))
     return out.select("url", F.col("depth").cast("long").alias("depth"))
+
+
+@register("url_lookup", ops=("F1", "Q7", "J3"), sql=f"""
+WITH {S.cte_links()}
+SELECT p.page_id, p.url FROM pages p WHERE p.url IN (SELECT href FROM outlinks)
+""")
+def url_lookup(spark, sf_dir):
+    """Exact URL lookups (equality, not the n-gram link match) of every linked full page URL."""
+    c = ctx(spark, sf_dir)
+    wanted = c.outlinks.select(F.col("href").alias("url")).distinct()
+    return c.t("pages").select("page_id", "url").join(wanted, "url", "left_semi")
