@@ -16,7 +16,7 @@ from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import index as IX
 from ..operators import store as ST
-from ..session import materialize
+from ..session import materialize, materialize_bucketed
 from ..sources import derived as D
 from ..sources.tables import table
 
@@ -76,7 +76,8 @@ class Ctx:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return materialize(IX.postings(self.search_docs, IX.text_all_source()), "term")
+        # bucketed by term: joins on term shuffle only the other side
+        return materialize_bucketed(IX.postings(self.search_docs, IX.text_all_source()), "term")
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -84,7 +85,7 @@ class Ctx:
 
     @cached_property
     def grams(self) -> DataFrame:
-        return materialize(IX.vocab_grams(self.vocab), "gram")
+        return materialize_bucketed(IX.vocab_grams(self.vocab), "gram")
 
     @cached_property
     def votes(self) -> DataFrame:

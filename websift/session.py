@@ -27,7 +27,10 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   driver_memory: str = "8g", app: str = "websift") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", driver_memory))
+               .config("spark.driver.memory", driver_memory)
+               # catalog folder for the bucketed lineage tables' metadata: scratch, not the working directory
+               .config("spark.sql.warehouse.dir", os.path.join(os.environ.get("WEBSIFT_SCRATCH", "/tmp"),
+                                                               "websift-warehouse")))
     for k, v in LOCAL_DEFAULTS.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -94,3 +97,16 @@ def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
         return F.broadcast(m)
     m.unpersist()
     return df
+
+
+def materialize_bucketed(df, key: str, buckets: int | None = None):
+    """Lineage cut as a bucketed Parquet table (by ``key``) under the checkpoint folder.
+
+    Reading it back gives a scan already hash-partitioned by ``key``, so a join
+    on ``key`` shuffles only the other side, whatever its size."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"websift_{uuid.uuid4().hex[:12]}"
+    path = os.path.join(checkpoint_dir(spark), "tables", name)
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
