@@ -105,6 +105,8 @@ def materialize_bucketed(df, key: str, buckets: int | None = None):
     Reading it back gives a scan already hash-partitioned by ``key``, so a join
     on ``key`` shuffles only the other side, whatever its size."""
     spark = df.sparkSession
+    if spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory":
+        return materialize(df, key)  # never register scratch tables in a shared metastore
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"websift_{uuid.uuid4().hex[:12]}"
     path = os.path.join(checkpoint_dir(spark), "tables", name)
