@@ -107,16 +107,22 @@ def delete_counts(spark, sf_dir):
     c = ctx(spark, sf_dir)
     victims = _voted_sites(c)
     bridge = c.edges.withColumnRenamed("page_id", "website_id")
-    flag = victims.select(F.col("id").alias("website_id"), F.lit(1).alias("_del"))
-    res = None
-    for name, df, fk in (("metadata", c.metadata, "website_id"),
-                         ("website_ref_ext_links", bridge, "website_id"),
-                         ("websites", c.websites.withColumnRenamed("id", "website_id"), "website_id")):
-        r = df.join(flag, fk, "left").agg(
-            F.count(F.col("_del")).alias("deleted"),
-            F.count(F.when(F.col("_del").isNull(), F.lit(1))).alias("remaining")) \
-            .select(F.lit(name).alias("tbl"), "deleted", "remaining")
-        res = r if res is None else res.unionByName(r)
+    websites = c.websites.withColumnRenamed("id", "website_id")
+    out = ST.cascade_delete(websites, {"metadata": (c.metadata, "website_id"),
+                                       "website_ref_ext_links": (bridge, "website_id")},
+                            victims.withColumnRenamed("id", "website_id"), key="website_id")
+    gone = victims.withColumnRenamed("id", "website_id")
+    parts = []
+    for name, before, after in (("metadata", c.metadata, out["metadata"]),
+                                ("website_ref_ext_links", bridge, out["website_ref_ext_links"]),
+                                ("websites", websites, out["parents"])):
+        parts.append(before.join(gone, "website_id", "left_semi").select(F.lit(name).alias("tbl"), F.lit(1).alias("d")))
+        parts.append(after.select(F.lit(name).alias("tbl"), F.lit(0).alias("d")))
+    rows = parts[0]
+    for p_ in parts[1:]:
+        rows = rows.unionByName(p_)
+    res = rows.groupBy("tbl").agg(F.sum("d").cast("long").alias("deleted"),
+                                  F.sum(1 - F.col("d")).cast("long").alias("remaining"))
     # Link rows (one per stored link of a website) referenced by the victims' bridge rows
     links = ST.assign_ids(c.edges.select("page_id", "domain"), 0, ["page_id", "domain"])
     link_rows = links.select("id", F.col("domain").alias("url"))
