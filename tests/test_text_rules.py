@@ -61,3 +61,17 @@ def test_genre_rules(spark):
     assert genre(spark, "Written by someone", []) == "article"
     assert genre(spark, "see further reading", []) == "article"
     assert genre(spark, "author only", []) == "default"
+
+
+def test_description_pick(spark):
+    df = spark.createDataFrame([(["description", "d1", "og:description", "d2"],), (["og:description", "d2"],),
+                                (["charset", "utf-8"],), ([],)], "m array<string>")
+    got = [r[0] for r in df.select(SN.description(F.col("m"))).collect()]
+    assert got == ["d1", "d2", None, None]
+
+
+def test_snippet_very_long_word(spark):
+    word = "x" * 150
+    text = "start " + "y" * 100 + " " + word + " " + "z " * 300
+    s = snip(spark, text, [word])
+    assert "<b>" + word + "</b>" in s and s.startswith("&hellip; ")

@@ -95,3 +95,10 @@ def test_dense_sessions_by_pointer_doubling(spark):
     for hot in (0, 10 ** 9):   # every session doubled / every session scanned
         got = {r.event_id: r.slot_ok for r in V.cooldown(vdf, 10.0, hot_rows=hot).collect()}
         assert got == want
+
+
+def test_unknown_site_uses_up_the_slot(spark):
+    votes = [(1, T0, 99, "up"), (2, T0 + dt.timedelta(seconds=5), 1, "up"),
+             (3, T0 + dt.timedelta(seconds=11), 1, "up")]
+    got = run(spark, votes, [(1, 0.0)], 10.0)
+    assert got[1][0] == "no_website" and got[2][0] == "too_many_requests" and got[3] == ("accepted", 1.0)
