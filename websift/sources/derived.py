@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from .tables import table
+from .tables import table, table_count
 
 # The search batch used by the tests (query_id, q).
 QUERY_BATCH = [
@@ -49,7 +49,7 @@ def outlinks(spark: SparkSession, sf_dir: str, site_df: DataFrame | None = None)
     every 50th page gets the noise hrefs.  The target lookup is an equi-join.
     """
     s = site_df if site_df is not None else site(spark, sf_dir)
-    n = table(spark, sf_dir, "pages").count()  # scalar from parquet footers
+    n = table_count(spark, sf_dir, "pages")  # scalar from parquet footers
     src = table(spark, sf_dir, "pages").select("page_id")
     tgt = s.select(F.col("page_id").alias("t_id"), F.col("url").alias("t_url"), F.col("root").alias("t_root"))
     fan = src.select("page_id", F.explode(F.array(*[F.lit(k) for k in EDGE_FANOUT])).alias("k")) \

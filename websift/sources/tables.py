@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def table_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of a given table (answered from the Parquet footers, no shuffle)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").count()
+
+
 # Fixed schemas of the relational store (website, metadata, links, bridge,
 # frontier, users).  Ids are nullable before they are assigned.
 WEBSITES = T.StructType([
