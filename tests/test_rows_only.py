@@ -63,3 +63,17 @@ def test_page_predictions_one_per_page(spark):
     rows = Q["page_quality_predict"](spark, SF).collect()
     assert len(rows) == n_pages and len({r.page_id for r in rows}) == n_pages
     assert {r.predicted_label for r in rows} <= {"0", "1"}
+
+
+def test_more_like_this_pruning_is_exact(spark):
+    from pyspark.sql import functions as F
+    from websift.operators import features as FE
+    from websift.operators import relevance as RV
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    w = FE.tfidf(FE.feature_postings(d), d.count())
+    seeds = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic = 1").select("doc_id")
+    def rows(df):
+        return sorted((r.seed_id, r.pos, r.doc_id, round(r.score, 6)) for r in df.collect())
+    exhaustive = rows(RV.more_like_this(seeds, w, common_df=10 ** 9))   # every term rare: plain search
+    for cdf in (1, 20, 100):                                            # many common terms: bound + fallback
+        assert rows(RV.more_like_this(seeds, w, common_df=cdf)) == exhaustive
