@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality
+from . import jaccard, mixing, packing, pii, quality
 from .common import documents, prepare
 
 QUERIES: dict = {}
@@ -42,3 +42,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
+
+
+@query("op3_jaccard")
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).drop("node")
