@@ -71,3 +71,38 @@ def _state(e: DataFrame) -> tuple:
     """Count and order-free checksum of an edge list (two numbers)."""
     r = e.select(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)).alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
     return r["n"], r["s"]
+
+
+def runs(batches, keys: list[str]):
+    """Consecutive rows with equal ``keys`` of sorted pandas batches, one frame per run."""
+    import pandas as pd
+    parts, current = [], None
+    for b in batches:
+        here = list(zip(*[b[k] for k in keys]))
+        begin = 0
+        for i, key in enumerate(here):
+            if key != current:
+                if i > begin:
+                    parts.append(b.iloc[begin:i])
+                if parts:
+                    yield pd.concat(parts, ignore_index=True)
+                parts, current, begin = [], key, i
+        if len(here) > begin:
+            parts.append(b.iloc[begin:])
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
+
+
+def smallest_roots(n: int, x, y):
+    """Smallest position that each of ``n`` positions reaches over the pairs (x, y)."""
+    import numpy as np
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new

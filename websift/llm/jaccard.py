@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import components, cut
+from .common import components, cut, runs, smallest_roots
 
 THRESHOLD = Fraction(4, 5)
 TOLERANCE = 1e-9
@@ -131,24 +131,10 @@ def similar(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: n
             yield x[ok], y[ok]
 
 
-def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Smallest position that each position reaches over the pairs."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = np.minimum(new, new[new])
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _compare(batches: Iterator[pd.DataFrame], least: list[int], threshold=THRESHOLD) -> Iterator[pd.DataFrame]:
     """Runs of equal (component, i, j) in sorted batches are groups; each gives (id, root, links) per linked class."""
-    def group(parts: list[pd.DataFrame]) -> pd.DataFrame | None:
-        g = pd.concat(parts).sort_values("id", ignore_index=True)
+    def group(g: pd.DataFrame) -> pd.DataFrame | None:
+        g = g.sort_values("id", ignore_index=True)
         h, offsets = S.shingles(g["text"])
         sets = [np.unique(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         sigs = np.frombuffer(b"".join(g["sig"]), dtype=np.uint16).reshape(len(g), S.HASHES)
@@ -160,27 +146,14 @@ def _compare(batches: Iterator[pd.DataFrame], least: list[int], threshold=THRESH
             np.add.at(links, x, weight[y])
             np.add.at(links, y, weight[x])
             # star edges of what was found before stand for it
-            root = _roots(len(g), np.concatenate((x, np.arange(len(g)))), np.concatenate((y, root)))
+            root = smallest_roots(len(g), np.concatenate((x, np.arange(len(g)))), np.concatenate((y, root)))
         linked = links > 0
         ids = g["id"].to_numpy()
         return pd.DataFrame({"id": ids[linked], "root": ids[root[linked]], "links": links[linked]}) if linked.any() else None
 
-    parts: list[pd.DataFrame] = []
-    current = None
-    for b in batches:
-        keys = list(zip(b["component"], b["i"], b["j"]))
-        begin = 0
-        for k in range(len(keys) + 1):
-            if k == len(keys) or keys[k] != current:
-                if k > begin:
-                    parts.append(b.iloc[begin:k])
-                    begin = k
-                if k < len(keys):
-                    if parts and (out := group(parts)) is not None:
-                        yield out
-                    parts, current = [], keys[k]
-    if parts and (out := group(parts)) is not None:
-        yield out
+    for g in runs(batches, ["component", "i", "j"]):
+        if (out := group(g)) is not None:
+            yield out
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold=THRESHOLD, tolerance: float = TOLERANCE,
