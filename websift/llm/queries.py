@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, pii, quality, sharding
+from . import embeddings, jaccard, mixing, packing, pii, quality, sharding
 from .common import documents, prepare
 
 QUERIES: dict = {}
@@ -54,3 +54,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sharding.shard(documents(spark, sf_dir), 40)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_embeddings")
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.join(documents(spark, sf_dir, "embeddings"))
