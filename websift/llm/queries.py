@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, mixing, packing, pii, quality, sharding
+from . import embeddings, jaccard, mixing, packing, pii, quality, sharding, warc
 from .common import documents, prepare
 
 QUERIES: dict = {}
@@ -59,3 +59,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_embeddings")
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.join(documents(spark, sf_dir, "embeddings"))
+
+
+@query("op7_warc")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(documents(spark, sf_dir, "pages"))
