@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, mixing, packing, pii, quality, sharding, warc
+from . import embeddings, jaccard, mixing, packing, pii, quality, sharding, toxicity, warc
 from .common import documents, prepare
 
 QUERIES: dict = {}
@@ -64,3 +64,8 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_warc")
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(documents(spark, sf_dir, "pages"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
