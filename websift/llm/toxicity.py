@@ -4,10 +4,10 @@ Negative labels are never used as examples.  With class prior p, the risk of a c
 ``p E_toxic[l(g, 1)] + max(0, E_all[l(g, 0)] - p E_toxic[l(g, 1 -> 0)])``: unlabelled text stands for the clean text
 after its toxic share is taken away, and where that estimate turns negative (over-fitting) the step is reversed.
 
-Features are words (runs of letters, lower case) present in a text.  Counts cover all data: the words of all
-confirmed toxic training texts that at least ``MIN_SHARE`` of them hold (that bounds their number by the words of a
-text over that share, whatever the corpus), then the number of all documents that hold each of these.  The words that
-tell the two apart best are the features.  The classifier is fitted on at most ``MAX_TOXIC`` toxic and
+Features are words (runs of letters, lower case) and the beginnings of words (``PREFIXES`` bytes, for inflected and
+compound forms) present in a text.  Counts cover all data: the features of all confirmed toxic training texts that at
+least ``MIN_SHARE`` of them hold (that bounds their number by the features of a text over that share, whatever the
+corpus), then the number of all documents that hold each of these.  Those that tell the two apart best are used.  The classifier is fitted on at most ``MAX_TOXIC`` toxic and
 ``MAX_UNLABELLED`` unlabelled texts (a documented bound; only the presence of the features is gathered), and scores
 every whole text.
 
@@ -30,36 +30,59 @@ from .shingles import _P, _powers, mix
 
 FOLDS = 5
 MIN_TEXTS, MIN_SHARE = 5, 0.01
-CANDIDATES, FEATURES = 8192, 512
+CANDIDATES, FEATURES = 65_536, 512
+PREFIXES = (4, 5, 6)
+#: A feature's share among toxic texts must differ from its share everywhere by so many standard deviations.
+MIN_DEVIATIONS = 4
 MAX_TOXIC, MAX_UNLABELLED = 5000, 20_000
-EPOCHS, BATCHES, RATE, PENALTY = 60, 20, 0.02, 1e-4
+EPOCHS, BATCHES, RATE, PENALTY = 120, 20, 0.03, 1e-5
 
 # letters of ASCII in lower case, bytes of other letters as they are, 0 for all that separates words
 _LETTER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], dtype=np.uint8)
 
 
-def words(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word): the distinct words of each text as 64-bit hashes, ordered by text."""
+def features(texts, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature): the distinct features of each text as 64-bit hashes, ordered by text; with ``known`` (sorted),
+    only those in it, as their positions there."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     buf = _LETTER[np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)]
     change = np.diff(np.concatenate(([False], buf > 0)).astype(np.int8))
     start, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
     running = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(buf.astype(np.uint64) * _powers(_P, len(buf)), dtype=np.uint64)))
-    word = mix((running[end] - running[start]) * _powers(pow(_P, -1, 1 << 64), len(buf))[start] + (end - start).astype(np.uint64))
-    text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
-    order = np.lexsort((word, text))
-    text, word = text[order], word[order]
-    new = np.ones(len(word), dtype=bool)
-    new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
-    return text[new], word[new].view(np.int64)
-
-
-def _positions(known: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Index of each word in the sorted array ``known``, or -1."""
+    back = _powers(pow(_P, -1, 1 << 64), len(buf))
+    in_text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), start, side="right")
+    pick, text, kind = (None if known is None else _filter(known)), [], []
+    for n in (0, *PREFIXES):
+        long = np.flatnonzero(end - start > n) if n else np.arange(len(start))
+        s, e = start[long], (start[long] + n if n else end[long])
+        h = mix((running[e] - running[s]) * back[s] + (e - s).astype(np.uint64) + np.uint64(n << 32)).view(np.int64)
+        t = in_text[long]
+        if pick is not None:
+            maybe = pick[h & 0xFFFF]
+            at = _positions(known, h[maybe])
+            t, h = t[maybe][at >= 0], at[at >= 0]
+        text.append(t)
+        kind.append(h)
+    text, kind = np.concatenate(text), np.concatenate(kind)
+    order = np.lexsort((kind, text))
+    text, kind = text[order], kind[order]
+    new = np.ones(len(kind), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (kind[1:] != kind[:-1])
+    return text[new], kind[new]
+
+
+def _filter(known: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 16, dtype=bool)
+    out[known & 0xFFFF] = True
+    return out
+
+
+def _positions(known: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Index of each feature in the sorted array ``known``, or -1."""
     if not len(known):
-        return np.full(len(word), -1)
-    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
-    return np.where(known[at] == word, at, -1)
+        return np.full(len(kind), -1)
+    at = np.minimum(np.searchsorted(known, kind), len(known) - 1)
+    return np.where(known[at] == kind, at, -1)
 
 
 def _count_words(df: DataFrame, known: np.ndarray | None = None) -> DataFrame:
@@ -67,9 +90,9 @@ def _count_words(df: DataFrame, known: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = pd.Series(dtype=np.int64)
         for b in batches:
-            word = words(b["text"])[1]
+            word = features(b["text"], known)[1]
             if known is not None:
-                word = word[_positions(known, word) >= 0]
+                word = known[word]
             found, n = np.unique(word, return_counts=True)
             total = total.add(pd.Series(n, index=found), fill_value=0)
             if len(total) > 500_000:
@@ -82,9 +105,7 @@ def _count_words(df: DataFrame, known: np.ndarray | None = None) -> DataFrame:
 def _presence(df: DataFrame, known: np.ndarray) -> list[list[int]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text, word = words(b["text"])
-            at = _positions(known, word)
-            text, at = text[at >= 0], at[at >= 0]
+            text, at = features(b["text"], known)
             cuts = np.searchsorted(text, np.arange(len(b) + 1))
             yield pd.DataFrame({"at": [at[i:j].tolist() for i, j in zip(cuts[:-1], cuts[1:])]})
     return [r["at"] for r in df.select("text").mapInPandas(run, "at array<int>").collect()]
@@ -147,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     u = np.array([everywhere.get(x, 0) for x in known.tolist()]) / max(1, n_all)
     smooth = 0.5 / n_toxic
     gain = np.abs((p - u) * np.log((p + smooth) / (u + smooth)))
-    known = np.sort(known[np.argsort(-gain, kind="stable")[:FEATURES]])
+    gain[np.abs(p - u) < MIN_DEVIATIONS * np.sqrt((u + smooth) / n_toxic)] = 0  # may be chance
+    best = np.argsort(-gain, kind="stable")[:FEATURES]
+    known = np.sort(known[best[gain[best] > 0]])
     # bounded samples, the same on every run
     order = F.xxhash64(F.lit("nnpu"), "doc_id")
     part = F.pmod(order, F.lit(1_000_000)) / 1_000_000
@@ -169,9 +192,8 @@ def score(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         if model is None:
             return pd.Series(np.zeros(len(texts)))
         known, weights, intercept = model
-        of, word = words(texts)
-        at = _positions(known, word)
-        z = intercept + np.bincount(of[at >= 0], weights=weights[at[at >= 0]], minlength=len(texts))
+        of, at = features(texts, known)
+        z = intercept + np.bincount(of, weights=weights[at], minlength=len(texts))
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     out = docs.select("doc_id", held_out.alias("held_out"), run("text").alias("score"))
