@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, mixing, packing, pii, quality, sharding, toxicity, warc
+from . import embeddings, jaccard, mixing, packing, pii, quality, sharding, toxicity, training_order, warc
 from .common import documents, prepare
 
 QUERIES: dict = {}
@@ -69,3 +69,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+@query("op9_training_order")
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.order(documents(spark, sf_dir))
