@@ -1,7 +1,8 @@
 """HTML → columns, as JVM-side regular-expression expressions.
 
-One pass of column expressions per page instead of a Python parser: the
-expressions stay inside whole-stage codegen and scale with the scan.  The
+One pass of column expressions per page instead of a Python parser: they run
+in the JVM and scale with the scan (higher-order functions are interpreted
+there, not part of generated code).  The
 tokenisation rules (stated once here, mirrored by the SQL oracle):
 
 * a *tag* is ``<[^>]*>``; a comment ``<!-- ... -->`` is a tag too, so it splits
@@ -13,31 +14,45 @@ tokenisation rules (stated once here, mirrored by the SQL oracle):
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The named and numeric entities decoded in text nodes
-# (``&amp;`` last so that ``&amp;lt;`` stays ``&lt;``).
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
+# Named entities: the HTML 4 names of the standard library, and ``apos``; a no-break space counts as a blank.
+ENTITIES = {**{name: chr(cp) for name, cp in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+ENTITY_PATTERN = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+MAX_CODE_POINT = 0x10FFFF
 
 TAG_SPLIT = r"(?s)<!--.*?-->|<[^>]*>"
 TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title>"
 BODY_PATTERN = r"(?is)<body[^>]*>(.*?)(?:</body>|\z)"
 META_TAG_PATTERN = r"(?i)<meta\b[^>]*>"
 ATTR_VALUE_PATTERN = r"""\s[^\s=<>"'/]+\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-HREF_PATTERN = r"""(?i)<a\b[^>]*?\shref\s*=\s*["']?([^"'\s>]*)"""
+ATTR_QUOTE_PATTERN = r"""^\s[^\s=<>"'/]+\s*=\s*["']?|["']$"""
+HREF_PATTERN = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 SCRIPT_BLOCK = r"(?is)<script\b[^>]*>(.*?)</script>"
 COUNTED_TAGS = ("a", "li", "script", "iframe", "input")
 HIDDEN_BLOCK = r"(?is)<(?:script|style|iframe)\b[^>]*>.*?</(?:script|style|iframe)\s*>"
 
 
+def _decode_after_ampersand(part: Column) -> Column:
+    """``part`` follows an ampersand: its leading entity decoded, or the ampersand put back."""
+    ref = F.regexp_extract(part, ENTITY_PATTERN, 1)
+    code = F.when(F.lower(F.substring(ref, 1, 2)) == "#x", F.conv(F.substring(ref, 3, 6), 16, 10).cast("long")) \
+        .when(ref.startswith("#"), F.substring(ref, 2, 7).cast("long"))
+    number = F.when(code.between(1, 0xD7FF) | code.between(0xE000, MAX_CODE_POINT),
+                    F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv]), ref)
+    char = F.when(ref.startswith("#"), number).otherwise(named)
+    return F.when(char.isNotNull(), F.concat(char, F.substr(part, F.length(ref) + 2))).otherwise(F.concat(F.lit("&"), part))
+
+
 def decode_entities(c: Column) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Named and numeric character references, each decoded once (``&amp;lt;`` gives ``&lt;``); others stay."""
+    parts = F.split(c, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), _decode_after_ampersand)
+    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
 
 
 def strip_ws(c: Column) -> Column:
@@ -75,13 +90,14 @@ def meta_values(html: Column) -> Column:
     metas = F.regexp_extract_all(html, F.lit(META_TAG_PATTERN), 0)
     per_meta = F.transform(metas, lambda m: F.transform(
         F.regexp_extract_all(m, F.lit(ATTR_VALUE_PATTERN), 0),
-        lambda a: F.regexp_extract(a, r"""=\s*["']?([^"']*)""", 1)))
+        lambda a: decode_entities(F.regexp_replace(a, ATTR_QUOTE_PATTERN, ""))))
     return F.flatten(per_meta)
 
 
 def hrefs(html: Column) -> Column:
     """All ``<a href>`` values in document order."""
-    return F.regexp_extract_all(html, F.lit(HREF_PATTERN), 1)
+    raw = F.regexp_extract_all(html, F.lit(HREF_PATTERN), 1)
+    return F.transform(raw, lambda h: decode_entities(strip_ws(F.regexp_replace(h, r"""^["']|["']$""", ""))))
 
 
 def _without_script_bodies(html: Column) -> Column:

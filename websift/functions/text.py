@@ -1,7 +1,7 @@
 """Text analysis as column expressions (tokenise, stop, grams, query parsing).
 
 Every chain is a composition of ``regexp_extract_all`` / ``filter`` /
-``transform`` so it runs inside codegen.  The word tokeniser approximates a
+``transform``, evaluated in the JVM.  The word tokeniser approximates a
 Unicode word tokeniser: runs of letters, digits and underscore, joined over
 an apostrophe or a dot between two such runs.
 """
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*"
 LINK_PART_PATTERN = r"[A-Za-z0-9_-]+"
 SORT_WORD_PATTERN = r"[a-zA-Z0-9]+"
-WORD_PART_PATTERN = r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+# parts end where lower case is followed by upper case, and between letters and digits
+WORD_PART_PATTERN = r"\p{Lu}*[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+|\p{Lu}+|\p{N}+"
 
 # Stop words of the general text chain.
 GENERAL_STOPWORDS = ["and"]

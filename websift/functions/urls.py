@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
 
 # The suffix rules the tests use (exact, wildcard, exception);
 # treating example.* as suffixes makes the label before them the site.
@@ -20,7 +19,6 @@ DEFAULT_SUFFIX_RULES = ["com", "net", "org", "co.uk", "example.com", "example.ne
 # scheme://[user@]host[:port]... ; host is group 1.
 HOST_PATTERN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#:@]+@)?([^/?#:]+)"
 IPV4_PATTERN = r"^[0-9]+(\.[0-9]+){3}$"
-MAX_HOST_LABELS = 16
 
 
 def host(url: Column) -> Column:
@@ -54,15 +52,15 @@ def registrable_domains(hosts: DataFrame, rules: DataFrame, host_col: str = "hos
     the suffix plus one label; IP addresses and bare suffixes give NULL.
 
     The rule table is tiny and of fixed size, so it is broadcast; hosts are
-    de-duplicated before the suffix explode (at most MAX_HOST_LABELS rows per
-    host).
+    de-duplicated before the suffix explode (as many rows per host as the
+    longest rule has labels).
     """
+    longest = rules.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1  # a scalar of the rule table
     h = (hosts.select(F.col(host_col).alias("host")).where(F.col("host").isNotNull())
          .distinct()
          .withColumn("labels", F.split("host", r"\."))
-         .withColumn("n", F.size("labels"))
-         .where(F.col("n") <= MAX_HOST_LABELS))
-    cand = h.select("host", "labels", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")) \
+         .withColumn("n", F.size("labels")))
+    cand = h.select("host", "labels", "n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(longest)))).alias("k")) \
         .withColumn("suffix", F.array_join(F.slice("labels", F.col("n") - F.col("k") + 1, F.col("k")), "."))
     # left join: a host without any matching rule keeps its rows (default suffix = last label)
     m = cand.join(F.broadcast(rules), cand.suffix == rules.key, "left")
@@ -82,7 +80,7 @@ def with_root(df: DataFrame, url_col: str, rules: DataFrame, prefix: str = "") -
     d = df.withColumn(hc, host(F.col(url_col)))
     roots = registrable_domains(d.select(hc), rules, hc).withColumnRenamed("host", hc).withColumnRenamed("root", rc)
     # one row per distinct host: broadcast back when its measured size allows
-    return d.join(broadcast_if_small(roots), hc, "left")
+    return d.join(roots, hc, "left")
 
 
 def url_path_parts(url: Column) -> Column:

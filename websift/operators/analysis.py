@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..session import broadcast_if_small
 
 ALNUM = r"^[\p{L}\p{N}]+$"
 
@@ -94,17 +93,30 @@ def suffix_terms(vocab: DataFrame, suffix: str) -> DataFrame:
     return vocab.where(F.reverse("term").startswith(suffix[::-1]))
 
 
+def _deletions(words: DataFrame, col: str, times: int) -> DataFrame:
+    """``words`` with ``variant``: the word without any 0 to ``times`` of its letters."""
+    def without_one(x):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
+                           lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+    every = last = F.array(F.col(col))
+    for _ in range(times):
+        last = F.array_distinct(F.flatten(F.transform(last, without_one)))
+        every = F.concat(every, last)
+    return words.withColumn("variant", F.explode(F.array_distinct(every)))
+
+
 def spelling(words: DataFrame, vocab: DataFrame, max_dist: int = 2) -> DataFrame:
     """For words not in the vocabulary, the closest term (distance, then frequency).
 
-    Candidates share the first letter and differ in length by at most
-    ``max_dist``: an equi-join on (first letter, length) with the small word
-    side expanded over the allowed lengths."""
-    miss = broadcast_if_small(words).join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
-    wk = broadcast_if_small(miss).select("word", F.substring("word", 1, 1).alias("c1"),
-                     F.explode(F.sequence(F.length("word") - max_dist, F.length("word") + max_dist)).alias("len"))
-    vk = vocab.select("term", "df", F.substring("term", 1, 1).alias("c1"), F.length("term").alias("len"))
-    cand = wk.join(vk, ["c1", "len"]).withColumn("distance", F.levenshtein("word", "term")) \
+    Words at distance d or less become equal when at most d letters are deleted
+    from each, so candidates come from an equi-join on such variants, and the
+    distance decides.  Only vocabulary terms of a length that can match the
+    batch are varied."""
+    miss = words.select("word").distinct().join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
+    lengths = miss.select(F.explode(F.sequence(F.length("word") - max_dist, F.length("word") + max_dist)).alias("len")).distinct()
+    near = vocab.select("term", "df", F.length("term").alias("len")).join(lengths, "len", "left_semi")
+    cand = _deletions(miss, "word", max_dist).join(_deletions(near, "term", max_dist), "variant") \
+        .select("word", "term", "df").distinct().withColumn("distance", F.levenshtein("word", "term")) \
         .where(F.col("distance") <= max_dist)
     w = Window.partitionBy("word").orderBy("distance", F.col("df").desc(), "term")
     best = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from ..session import broadcast_if_small
 from . import index as IX
 
 DEFAULT_ROWS = 10
@@ -31,30 +30,22 @@ def analyse_queries(queries: DataFrame) -> DataFrame:
                           terms.alias("terms"), TX.sort_words(q).alias("sort_words"))
 
 
-MAX_BATCH = 100_000  # batches up to this many queries broadcast their top-N rows (rows x batch)
-
-
-def _small(df: DataFrame, batch_small: bool) -> DataFrame:
-    return F.broadcast(df) if batch_small else df
-
-
 def hits(aq: DataFrame, grams: DataFrame, post: DataFrame) -> DataFrame:
     """Distinct (query_id, doc_id) whose text_all has a term the query word is a prefix of.
 
-    The query words and then the matched index terms (both measured) are the
-    small sides and are broadcast under their bounds, so
-    neither the prefix table nor the postings are shuffled for a query batch."""
-    qt = broadcast_if_small(aq.select("query_id", F.explode("terms").alias("w")))
-    terms = broadcast_if_small(qt.join(grams, qt.w == grams.gram).select("query_id", "term").distinct())
+    The prefix table and the postings are bucketed by their keys, so only the
+    query words and the matched terms move; the planner broadcasts them when
+    they are small."""
+    qt = aq.select("query_id", F.explode("terms").alias("w"))
+    terms = qt.join(grams, qt.w == grams.gram).select("query_id", "term").distinct()
     return terms.join(post, "term").select("query_id", "doc_id").distinct()
 
 
 def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
            rows: int | None = DEFAULT_ROWS, start: int = 0) -> DataFrame:
     """One row per (query_id, hit) with sort keys and ``pos``; ``rows=None`` keeps all."""
-    batch_small = aq.count() <= MAX_BATCH
     h = hits(aq, grams, post)
-    sw = broadcast_if_small(aq.select("query_id", F.posexplode("sort_words").alias("idx", "w")))
+    sw = aq.select("query_id", F.posexplode("sort_words").alias("idx", "w"))
     tf_all = IX.prefix_tf(sw, grams, post)
     d = docs.select(F.col("id").alias("doc_id"), "url", "rank")
     keyed = (h.join(sw, "query_id", "left")
@@ -79,6 +70,4 @@ def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
     out = out.join(found, "query_id")
     # display fields only for the rows that survived the cut
     shown = docs.select(F.col("id").alias("doc_id"), "title", "text")
-    if rows is not None:  # at most rows x batch size
-        return _small(out, batch_small).join(shown, "doc_id")
     return out.join(shown, "doc_id")

@@ -17,7 +17,6 @@ from ..session import materialize
 MAX_URLS_PER_MAP = 50000   # protocol limit per sitemap file
 NESTED_PATTERN = r"<sitemap>\s*<loc>\s*([^<\s]+)\s*</loc>"
 URL_PATTERN = r"<url>\s*<loc>\s*([^<\s]+)\s*</loc>"
-MAX_LEVELS = 64
 
 
 def derive(site: DataFrame) -> DataFrame:
@@ -65,7 +64,7 @@ def closure(start: DataFrame, entries: DataFrame) -> DataFrame:
     frontier = materialize(start.select("sitemap_url").distinct().withColumn("depth", F.lit(0)))
     visited = frontier.select("sitemap_url")
     found = None
-    for _ in range(MAX_LEVELS):
+    while True:  # ends with the deepest map: visited maps are not followed again
         hit = frontier.join(ent, "sitemap_url")
         urls = hit.where(F.col("kind") == "url").select(F.col("loc").alias("url"), "depth")
         found = urls if found is None else found.unionByName(urls)

@@ -24,8 +24,9 @@ def assign_ids(rows: DataFrame, base, order_cols: list[str], id_col: str = "id")
     partition), and offset by the prefix sum of those counts.  ``base`` is a
     Column or number (e.g. the current max id).
     """
-    srt = materialize(rows.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols))
-    srt = srt.withColumn("_mid", F.monotonically_increasing_id())
+    # the place is a column taken before the write: a later scan may read the files in any order
+    srt = materialize(rows.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                      .withColumn("_mid", F.monotonically_increasing_id()))
     srt = srt.withColumn("_part", F.shiftright("_mid", _ROW_BITS)) \
         .withColumn("_row", F.col("_mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
     counts = srt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -47,9 +48,12 @@ def upsert_by_url(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Known URL → new field values, same id and rank; new URL → new id, rank 0.
 
     ``existing`` has the website schema; ``incoming`` (url, title, text,
-    base_url, type_of_website).  Returns the new snapshot with ``is_new``.
+    base_url, type_of_website).  Of a URL that arrives several times the last
+    version counts.  Returns the new snapshot with ``is_new``.
     """
-    inc = incoming.dropDuplicates(["url"])
+    inc = incoming.withColumn("_at", F.monotonically_increasing_id())
+    inc = inc.groupBy("url").agg(F.max_by(F.struct(*[c for c in incoming.columns if c != "url"]), "_at").alias("_v")) \
+        .select("url", "_v.*")
     old = existing.select("id", "url", "rank")
     upd = inc.join(old, "url", "inner").withColumn("is_new", F.lit(False))
     new = inc.join(old.select("url"), "url", "left_anti")

@@ -8,7 +8,7 @@ from ..operators import facets as FC
 from .context import ctx
 from .registry import register
 
-# Filter query applied before faceting (F8): documents with some text.
+# Filter query applied before the field facet (F8): documents with some text.
 MIN_CHARS = 50
 # Named query facets (name, predicate).
 QUERY_FACETS = [
@@ -37,35 +37,35 @@ def facet_field(spark, sf_dir):
 
 @register("facet_query", ops=("G13",), sql="\nUNION ALL\n".join(
     f"SELECT * FROM (SELECT '{n}' AS name, CAST(count(*) FILTER (WHERE {p}) AS BIGINT) AS count "
-    f"FROM documents WHERE n_chars >= {MIN_CHARS}) WHERE count > 0" for n, p in QUERY_FACETS))
+    f"FROM documents) WHERE count > 0" for n, p in QUERY_FACETS))
 def facet_query(spark, sf_dir):
-    return FC.query_facet(_docs(ctx(spark, sf_dir)), QUERY_FACETS)
+    return FC.query_facet(ctx(spark, sf_dir).t("documents"), QUERY_FACETS)
 
 
 @register("facet_range", ops=("G14", "F7"), sql=f"""
 SELECT CASE WHEN n_chars < {RANGE_START} THEN 'before' WHEN n_chars >= {RANGE_END} THEN 'after'
             ELSE CAST({RANGE_START} + floor((n_chars - {RANGE_START}) / {RANGE_GAP}) * {RANGE_GAP} AS BIGINT)::VARCHAR END AS bucket,
        CAST(count(*) AS BIGINT) AS count
-FROM documents WHERE n_chars >= {MIN_CHARS} GROUP BY 1
+FROM documents GROUP BY 1
 """)
 def facet_range(spark, sf_dir):
-    return FC.range_facet(_docs(ctx(spark, sf_dir)), "n_chars", RANGE_START, RANGE_END, RANGE_GAP)
+    return FC.range_facet(ctx(spark, sf_dir).t("documents"), "n_chars", RANGE_START, RANGE_END, RANGE_GAP)
 
 
 @register("facet_pivot", ops=("G15",), sql=f"""
 SELECT lang, source, CAST(GROUPING(lang, source) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS count
-FROM documents WHERE n_chars >= {MIN_CHARS} GROUP BY ROLLUP (lang, source)
+FROM documents GROUP BY ROLLUP (lang, source)
 """)
 def facet_pivot(spark, sf_dir):
-    return FC.pivot_facet(_docs(ctx(spark, sf_dir)), "lang", "source")
+    return FC.pivot_facet(ctx(spark, sf_dir).t("documents"), "lang", "source")
 
 
 @register("group_top_docs", ops=("W4", "G16", "O7"), sql=f"""
 SELECT lang, CAST(group_count AS BIGINT) AS group_count, CAST(pos AS BIGINT) AS pos, doc_id, n_chars FROM (
   SELECT lang, doc_id, n_chars, count(*) OVER (PARTITION BY lang) AS group_count,
          row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC NULLS LAST, doc_id) AS pos
-  FROM documents WHERE n_chars >= {MIN_CHARS}) WHERE pos <= 3
+  FROM documents) WHERE pos <= 3
 """)
 def group_top_docs(spark, sf_dir):
-    return FC.group_top(_docs(ctx(spark, sf_dir)), "lang", F.col("n_chars").desc_nulls_last(), "doc_id", 3,
+    return FC.group_top(ctx(spark, sf_dir).t("documents"), "lang", F.col("n_chars").desc_nulls_last(), "doc_id", 3,
                         keep=("n_chars",))

@@ -15,7 +15,7 @@ from .registry import register
 # Currency of a customer by nation key modulo 4.
 CURRENCIES = ["USD", "EUR", "GBP", "NOK"]
 GEO_POINT, GEO_KM = (45.0, 10.0), 2500.0
-RANDOM_SEED, RANDOM_ROWS = 7, 20
+RANDOM_SEED = 7
 HASH_MUL, HASH_MOD = 1103515245, 2147483648
 
 
@@ -78,23 +78,20 @@ SELECT path, CAST(count(DISTINCT page_id) AS BIGINT) AS pages FROM anc GROUP BY
 def path_facet(spark, sf_dir):
     """F16: pages under every ancestor path of their URL (descendant-path facet)."""
     p = ctx(spark, sf_dir).t("pages")
-    parts = p.select("page_id", U.url_path_parts(F.col("url")).alias("p"))
+    parts = p.select("page_id", U.url_path_parts(F.col("url")).alias("p")).where(F.size("p") > 0)
     anc = parts.select("page_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")),
                                                         lambda i: F.array_join(F.slice("p", 1, i), "/"))).alias("path"))
     return anc.groupBy("path").agg(F.countDistinct("page_id").cast("long").alias("pages"))
 
 
 @register("random_order", ops=("O8",), sql=f"""
-SELECT doc_id, CAST(row_number() OVER (ORDER BY (doc_id * {HASH_MUL} + {RANDOM_SEED}) % {HASH_MOD}, doc_id) AS BIGINT) AS pos
-FROM documents QUALIFY pos <= {RANDOM_ROWS}
+SELECT doc_id, CAST((doc_id * {HASH_MUL} + {RANDOM_SEED}) % {HASH_MOD} AS BIGINT) AS order_key FROM documents
 """)
 def random_order(spark, sf_dir):
-    """A stable pseudo-random sample order per named seed (top rows of it)."""
+    """All documents in a stable pseudo-random order per named seed, with the key of the order."""
     d = ctx(spark, sf_dir).t("documents").select("doc_id")
-    key = F.pmod(F.col("doc_id") * HASH_MUL + RANDOM_SEED, F.lit(HASH_MOD))
-    top = d.orderBy(key, "doc_id").limit(RANDOM_ROWS)  # TakeOrderedAndProject: partial top-k per task
-    return top.withColumn("_k", key).select("doc_id", F.row_number().over(
-        Window.orderBy("_k", "doc_id")).cast("long").alias("pos"))
+    key = F.pmod(F.col("doc_id") * HASH_MUL + RANDOM_SEED, F.lit(HASH_MOD)).cast("long")
+    return d.select("doc_id", key.alias("order_key")).orderBy("order_key", "doc_id")
 
 
 @register("alpha_sort", ops=("O9", "O7"), sql="""

@@ -14,7 +14,7 @@ from .registry import register
 
 SUFFIX = "tion"
 # Misspelled words checked by the spelling suggester.
-SPELL_WORDS = ["thinng", "documment", "teh", "bble", "xqzv", "the"]
+SPELL_WORDS = ["thinng", "documment", "teh", "bble", "xqzv", "the", "xhing"]
 
 
 def _doc_tokens_sql(extra: str = "") -> str:
@@ -134,7 +134,7 @@ vocab AS (SELECT t AS term, count(DISTINCT id) AS df FROM doc_tok GROUP BY t),
 w AS (SELECT unnest({"[" + ", ".join(S.lit(x) for x in SPELL_WORDS) + "]"}) AS word),
 miss AS (SELECT word FROM w WHERE word NOT IN (SELECT term FROM vocab)),
 cand AS (SELECT m.word, v.term, levenshtein(m.word, v.term) AS dist, v.df FROM miss m JOIN vocab v
-         ON substring(v.term, 1, 1) = substring(m.word, 1, 1) AND abs(length(v.term) - length(m.word)) <= 2
+         ON abs(length(v.term) - length(m.word)) <= 2
          WHERE levenshtein(m.word, v.term) <= 2),
 best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY dist, df DESC, term) AS rn FROM cand)
 SELECT word, term AS suggestion, CAST(dist AS BIGINT) AS distance, CAST(df AS BIGINT) AS hits FROM best WHERE rn = 1

@@ -22,9 +22,16 @@ def strip_ws(x: str) -> str:
 
 
 def decode(x: str) -> str:
-    for ent, ch in H.ENTITIES:
-        x = f"replace({x}, {lit(ent)}, {lit(ch)})"
-    return x
+    """Character references decoded once each: the text is cut at ampersands, each part's leading reference replaced."""
+    ref = f"regexp_extract(p, {lit(H.ENTITY_PATTERN)}, 1)"
+    names = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in H.ENTITIES.items()) + "}"
+    code = (f"CASE WHEN lower({ref}[1:2]) = '#x' THEN CAST('0x' || {ref}[3:] AS BIGINT) "
+            f"WHEN {ref}[1:1] = '#' THEN CAST({ref}[2:] AS BIGINT) END")
+    char = (f"CASE WHEN {ref}[1:1] = '#' THEN (CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND {H.MAX_CODE_POINT} "
+            f"THEN chr(CAST({code} AS INTEGER)) END) ELSE element_at({names}, {ref})[1] END")
+    part = f"CASE WHEN {char} IS NOT NULL THEN {char} || p[length({ref}) + 2:] ELSE '&' || p END"
+    return (f"CASE WHEN contains({x}, '&') THEN string_split({x}, '&')[1] || "
+            f"array_to_string(list_transform(string_split({x}, '&')[2:], lambda p: {part}), '') ELSE {x} END")
 
 
 def title(html: str) -> str:
@@ -49,11 +56,12 @@ def body_text(html: str) -> str:
 def meta_values(html: str) -> str:
     return ("flatten(list_transform(regexp_extract_all(" + html + ", " + lit(H.META_TAG_PATTERN) + "), "
             "lambda m: list_transform(regexp_extract_all(m, " + lit(H.ATTR_VALUE_PATTERN) + "), "
-            "lambda a: regexp_extract(a, " + lit(r"""=\s*["']?([^"']*)""") + ", 1))))")
+            "lambda a: " + decode("regexp_replace(a, " + lit(H.ATTR_QUOTE_PATTERN) + ", '', 'g')") + ")))")
 
 
 def hrefs(html: str) -> str:
-    return f"regexp_extract_all({html}, {lit(H.HREF_PATTERN)}, 1)"
+    bare = "regexp_replace(h, " + lit(r"""^["']|["']$""") + ", '', 'g')"
+    return f"list_transform(regexp_extract_all({html}, {lit(H.HREF_PATTERN)}, 1), lambda h: {decode(strip_ws(bare))})"
 
 
 def display_title(title_x: str, text_x: str) -> str:

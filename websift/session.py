@@ -49,8 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Reads ``spark.checkpoint.dir`` from the session (a cluster names a shared
-    folder there).  Only when it is unset, as in local tests, a scratch folder
-    is created and registered.
+    folder there).  Only when it is unset on a local master, as in tests, a
+    scratch folder is created; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="websift-ckpt-", dir=os.environ.get("WEBSIFT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -80,25 +82,6 @@ def materialize(df, *partition_cols: str):
     return spark.read.parquet(path)
 
 
-# Largest side (rows) that is broadcast after measuring it; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
-    """Broadcast hint behind a measured bound.
-
-    The side is cached and counted (one job; the join then reads the cache);
-    it is broadcast only when it has at most ``max_rows`` rows, otherwise the
-    cache is dropped and the join shuffles both sides."""
-    from pyspark import StorageLevel
-    from pyspark.sql import functions as F
-    m = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if m.count() <= max_rows:
-        return F.broadcast(m)
-    m.unpersist()
-    return df
-
-
 def materialize_bucketed(df, key: str, buckets: int | None = None):
     """Lineage cut as a bucketed Parquet table (by ``key``) under the checkpoint folder.
 
