@@ -1,12 +1,13 @@
 import math
 
 import duckdb
+import pandas as pd
 
 from websift.sources.tables import TABLES
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
