@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, mixing, packing, pii, quality, sharding, toxicity, training_order, warc
+from . import embeddings, jaccard, mixing, oracles, packing, pii, quality, sharding, toxicity, training_order, warc
 from .common import documents, prepare
 
 QUERIES: dict = {}
@@ -24,9 +24,9 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", oracles.quality_sql())
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measures(documents(spark, sf_dir), carry=["doc_id"])
+    return quality.measures(documents(spark, sf_dir), carry=["doc_id"]).drop("class_distance", "common_distance")
 
 
 @query("op2_packing")
@@ -44,7 +44,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
-@query("op3_jaccard")
+@query("op3_jaccard", oracles.JACCARD)
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).drop("node")
 
@@ -56,12 +56,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op5_embeddings")
+@query("op5_embeddings", oracles.EMBEDDINGS)
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.join(documents(spark, sf_dir, "embeddings"))
 
 
-@query("op7_warc")
+@query("op7_warc", oracles.WARC)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(documents(spark, sf_dir, "pages"))
 
