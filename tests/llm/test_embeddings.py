@@ -9,7 +9,7 @@ def vectors():
     rows = []
     for k in range(160):
         v = base[k % 40] + rng.standard_normal(64) * rng.choice([0.02, 0.2, 0.3, 0.4])
-        rows.append((k, v.astype(np.float32).tolist(), int(k % 3), "z"))
+        rows.append((k, v.astype(np.float32).tolist(), k % 40 % 3, "z"))
     rows += [(200, rows[5][1], 2, "z"), (201, rows[5][1], 2, "z"), (202, rows[5][1], 1, "z"), (203, rows[5][1], None, "z"),
              (204, [0.0] * 64, 2, "z"), (205, None, 2, "z"), (206, [float("nan")] + [1.0] * 63, 2, "z"), (207, [None] + [1.0] * 63, 2, "z"),
              (208, [float("inf")] + [1.0] * 63, 2, "z"), (209, [], 2, "z"), (210, [2 * x for x in rows[5][1]], 2, "z"), (5, rows[5][1], 2, "z"),
