@@ -98,6 +98,20 @@ def test_model_store_round_trip(spark):
     assert acc["naive_bayes"] == 100.0
 
 
+def test_models_follow_their_training_rows(spark):
+    from websift.operators import models as MD
+    store = tempfile.mkdtemp(prefix="websift-models-")
+
+    def data(shift):
+        rows = [(i, ("clean text science " if i % 2 else "spam cheap pills ") * 3, (i + shift) % 2) for i in range(40)]
+        return MD.prepare(spark.createDataFrame(rows, "doc_id long, text string, quality int"), "doc_id", "text", "quality")
+    one, other = data(0), data(1)  # the same texts with the labels exchanged
+    a = MD.train_or_load("neural_network", one, 2, store)  # six terms: the network's input follows the vocabulary
+    b = MD.train_or_load("neural_network", other, 2, store)
+    assert MD.fingerprint(one) == MD.fingerprint(data(0)) != MD.fingerprint(other)
+    assert dict(MD.evaluate({"neural_network": a}, one)) == dict(MD.evaluate({"neural_network": b}, other)) == {"neural_network": 100.0}
+
+
 def test_snapshot_versions_and_reset(spark):
     from websift.sources.snapshots import SnapshotStore
     store = SnapshotStore(spark, tempfile.mkdtemp(prefix="websift-store-"), keep=2)
