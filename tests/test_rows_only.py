@@ -65,15 +65,17 @@ def test_page_predictions_one_per_page(spark):
     assert {r.predicted_label for r in rows} <= {"0", "1"}
 
 
-def test_more_like_this_pruning_is_exact(spark):
-    from pyspark.sql import functions as F
+def test_more_like_this_uses_the_whole_vocabulary(spark):
     from websift.operators import features as FE
     from websift.operators import relevance as RV
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    w = FE.tfidf(FE.feature_postings(d), d.count())
-    seeds = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic = 1").select("doc_id")
-    def rows(df):
-        return sorted((r.seed_id, r.pos, r.doc_id, round(r.score, 6)) for r in df.collect())
-    exhaustive = rows(RV.more_like_this(seeds, w, common_df=10 ** 9))   # every term rare: plain search
-    for cdf in (1, 20, 100):                                            # many common terms: bound + fallback
-        assert rows(RV.more_like_this(seeds, w, common_df=cdf)) == exhaustive
+    # 30 documents share common words; two share one rare word, which a cut to the commonest terms would drop
+    docs = [(i, "common words everywhere " * 3 + f"own{i}") for i in range(30)] + [(100, "common rareword"), (101, "words rareword")]
+    w = FE.tfidf(FE.feature_postings(spark.createDataFrame(docs, "doc_id long, text string")), len(docs), vocab_size=None).persist()
+    weights = {}
+    for r in w.collect():
+        weights.setdefault(r.doc_id, {})[r.term] = r.weight
+    got = [(r.doc_id, r.score) for r in RV.more_like_this(spark.createDataFrame([(100,)], "doc_id long"), w, n=3).orderBy("pos").collect()]
+    want = sorted(((d, round(sum(x * weights[100].get(t, 0) for t, x in v.items()), 9)) for d, v in weights.items() if d != 100),
+                  key=lambda r: (-r[1], r[0]))[:3]
+    assert got[0][0] == 101 and [d for d, _ in got] == [d for d, _ in want]
+    assert all(abs(a[1] - b[1]) < 1e-8 for a, b in zip(got, want))
