@@ -5,11 +5,11 @@ Negative labels are never used as examples.  With class prior p, the risk of a c
 after its toxic share is taken away, and where that estimate turns negative (over-fitting) the step is reversed.
 
 Features are words (runs of letters, lower case) and the beginnings of words (``PREFIXES`` bytes, for inflected and
-compound forms) present in a text.  Counts cover all data: the features of all confirmed toxic training texts that at
-least ``MIN_SHARE`` of them hold (that bounds their number by the features of a text over that share, whatever the
-corpus), then the number of all documents that hold each of these.  Those that tell the two apart best are used.  The classifier is fitted on at most ``MAX_TOXIC`` toxic and
-``MAX_UNLABELLED`` unlabelled texts (a documented bound; only the presence of the features is gathered), and scores
-every whole text.
+compound forms) present in a text.  The fit uses at most ``MAX_TOXIC`` confirmed toxic texts, in a fixed random order
+(a documented bound, so that their ids can be broadcast and no text is shuffled).  Candidates are the features that at
+least ``MIN_SHARE`` of them hold; each is then counted over all documents, and those that tell the two apart best are
+used.  The classifier is fitted on these texts and about ``MAX_UNLABELLED`` others (only the presence of the features
+is gathered), and scores every whole text.
 
 Defined results: rows are held out when crc32 of doc_id as text is divisible by ``FOLDS`` (null doc_ids are not);
 null, empty and blank texts have no words and get the score of the intercept; repeated labels count once; without a
@@ -35,7 +35,8 @@ PREFIXES = (4, 5, 6)
 #: A feature's share among toxic texts must differ from its share everywhere by so many standard deviations.
 MIN_DEVIATIONS = 4
 MAX_TOXIC, MAX_UNLABELLED = 5000, 20_000
-EPOCHS, BATCHES, RATE, PENALTY = 120, 20, 0.03, 1e-5
+#: Texts of each kind in a step; small batches would make the risk of clean text negative by chance.
+STEPS, BATCH, RATE, PENALTY = 1500, 2048, 0.03, 1e-5
 
 # letters of ASCII in lower case, bytes of other letters as they are, 0 for all that separates words
 _LETTER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], dtype=np.uint8)
@@ -121,30 +122,26 @@ def _matrix(rows: list[list[int]], n: int) -> np.ndarray:
 def fit_nnpu(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3) -> tuple[np.ndarray, float]:
     """(weights, intercept) of a logistic model under the non-negative risk, by Adam on mini-batches."""
     rng = np.random.default_rng(seed)
-    w = np.zeros(toxic.shape[1] + 1)
+    w = np.zeros(toxic.shape[1] + 1, dtype=np.float32)
     w[-1] = np.log(prior / (1 - prior))
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
+    m, v = np.zeros_like(w), np.zeros_like(w)
     toxic, unlabelled = (np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]) for x in (toxic, unlabelled))
 
     def sigmoid(z):
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    for _ in range(EPOCHS):
-        for p, u in zip(np.array_split(rng.permutation(len(toxic)), BATCHES), np.array_split(rng.permutation(len(unlabelled)), BATCHES)):
-            if not len(p) or not len(u):
-                continue
-            p, u = toxic[p], unlabelled[u]
-            sp, su = sigmoid(p @ w), sigmoid(u @ w)
-            as_clean_u, as_clean_p = -np.log(1 - su + 1e-9).mean(), -np.log(1 - sp + 1e-9).mean()
-            clean_grad = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-            if as_clean_u - prior * as_clean_p >= 0:
-                grad = clean_grad - prior * (p.T @ (1 - sp)) / len(p)
-            else:
-                grad = -clean_grad
-            grad[:-1] += PENALTY * w[:-1]
-            t += 1
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
-            w -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    def batch(x):
+        return x if len(x) <= BATCH else x[rng.integers(0, len(x), BATCH)]
+
+    for t in range(1, STEPS + 1):
+        p, u = batch(toxic), batch(unlabelled)
+        sp, su = sigmoid(p @ w), sigmoid(u @ w)
+        as_clean_u, as_clean_p = -np.log(1 - su + 1e-9).mean(), -np.log(1 - sp + 1e-9).mean()
+        grad = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+        grad = grad - prior * (p.T @ (1 - sp)) / len(p) if as_clean_u >= prior * as_clean_p else -grad
+        grad[:-1] += PENALTY * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
+        w -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
@@ -156,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     if not positive:
         return None
     prior = min(0.9, max(0.001, positive / n))  # the share of toxic texts among the judged ones
-    toxic = cut(docs.join(per_doc.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), "toxic")
+    order = F.xxhash64(F.lit("nnpu"), "doc_id")  # a fixed random order
+    chosen = per_doc.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_TOXIC).select("doc_id")
+    # at most MAX_TOXIC ids: the texts of all documents stay where they are
+    toxic = cut(docs.join(F.broadcast(chosen), "doc_id", "left_semi"), "toxic")
     n_toxic, n_all = toxic.count(), docs.count()
     if not n_toxic:
         return None
@@ -172,7 +172,6 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     best = np.argsort(-gain, kind="stable")[:FEATURES]
     known = np.sort(known[best[gain[best] > 0]])
     # bounded samples, the same on every run
-    order = F.xxhash64(F.lit("nnpu"), "doc_id")
     part = F.pmod(order, F.lit(1_000_000)) / 1_000_000
     some_toxic = _matrix(_presence(toxic.where(part < MAX_TOXIC / n_toxic), known), len(known))
     some = _matrix(_presence(docs.where(part < MAX_UNLABELLED / n_all), known), len(known))
