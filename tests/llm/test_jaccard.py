@@ -69,6 +69,19 @@ def test_keep_one_keeps_one_of_each_group(docs, rows):
     assert alone <= set(kept)
 
 
+def test_groups_without_ids_or_with_a_shared_id_stay_apart(spark):
+    """Two groups whose doc_ids are all null, and one doc_id on two texts that have a copy each."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    near = c.replace("c29", "other")
+    rows = [(None, a), (None, a), (None, b), (None, b), (1, c), (2, c), (4, near), (1, d), (3, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = jaccard.join(df).collect()
+    assert order((r.doc_id, r.n_links, r.class_id) for r in links) == order(brute(rows))
+    assert len({r.group_id for r in links}) == 4
+    kept = jaccard.keep_one(df).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(0, a), (0, b), (1, c), (1, d)])
+
+
 def test_pruning_table_follows_the_posterior():
     least = jaccard.least_matches()
     assert len(least) == shingles.HASHES // jaccard.STEP and least == sorted(least)

@@ -14,7 +14,9 @@ A pair at the threshold is missed with probability below 1e-6 (bands) plus 1e-8
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts of one to four words link
 with texts of the same words; repeated rows are copies of each other; null doc_ids are never a class id while the
-class has another; an empty table gives an empty result; other columns are ignored, or kept by ``keep_one``.
+class has another; an empty table gives an empty result; other columns are ignored, or kept by ``keep_one``.  A doc_id
+on several texts, or a group without any, makes class_id no name of a group (two groups can have one class_id, or
+null): ``group_id`` tells groups apart, and ``keep_one`` goes by it.
 """
 
 from __future__ import annotations
@@ -158,8 +160,9 @@ def _compare(batches: Iterator[pd.DataFrame], least: list[int], threshold=THRESH
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold=THRESHOLD, tolerance: float = TOLERANCE,
          block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row per row of ``df``: doc_id, node (digest of the text), class_id (smallest doc_id of the group of
-    near-duplicates), copy_id (smallest doc_id with the same text) and n_links (rows with similarity >= threshold)."""
+    """One row per row of ``df``: doc_id, node (digest of the text), group_id (number of the group of near-duplicates,
+    of this run), class_id (smallest doc_id of the group), copy_id (smallest doc_id with the same text) and n_links
+    (rows with similarity >= threshold)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.coalesce(F.col(text), F.lit(""))).alias("node"),
                      F.col(text).alias("text"))
     rows = cut(_signatures(docs), "signatures")
@@ -188,11 +191,11 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold=TH
     named = classes.select("id", "node", "first_id", "copies", "size").join(groups, "id", "left").join(links, "id", "left")
     lowest = classes.join(groups, "id").groupBy("component").agg(F.min("first_id").alias("lowest"))
     named = named.join(lowest, "component", "left").select(
-        "node", "size", F.coalesce("lowest", "first_id").alias("class_id"), F.col("first_id").alias("copy_id"),
+        "node", "size", F.coalesce("component", "id").alias("group_id"), F.coalesce("lowest", "first_id").alias("class_id"), F.col("first_id").alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     blank = F.col("size") == 0
     return rows.select("doc_id", "node").join(named, "node").select(
-        "doc_id", "node", F.when(blank, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
+        "doc_id", "node", "group_id", F.when(blank, F.col("doc_id")).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(blank, F.col("doc_id")).otherwise(F.coalesce("copy_id", "doc_id")).alias("copy_id"),
         F.when(blank, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 
@@ -207,7 +210,7 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
     links = cut(join(df, doc_id, text, **options), "links")
     blank = F.unhex(F.md5(F.lit("")))
     linked = links.withColumn("_own", F.when(F.col("n_links") == 0, _row_key(F.col("doc_id"), F.col("node"))))
-    kept = linked.groupBy("class_id", "_own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best")) \
+    kept = linked.groupBy("group_id", "_own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best")) \
         .select(_row_key(F.col("best.doc_id"), F.col("best.node")).alias("_key")).distinct()
     columns = df.columns
     names = [f"_in{i}" for i in range(len(columns))]

@@ -46,7 +46,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_jaccard", oracles.JACCARD)
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(documents(spark, sf_dir)).drop("node")
+    return jaccard.join(documents(spark, sf_dir)).drop("node", "group_id")
 
 
 @query("op1_sharding")
