@@ -63,3 +63,30 @@ def test_equal_values_stay_linked_across_rows(spark, docs, empty):
     assert pii.pseudonymise(docs).columns == docs.columns
     assert sorted(map(str, pii.pseudonymise(docs).collect())) == sorted(map(str, docs.collect()))  # clean documents stay
     assert pii.report(empty).count() == 0
+
+
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+
+
+@pytest.mark.parametrize("value", ["aB3" * 43, "x7Q" * 67, "0123456789abcdef" * 20, "7" * 128 + "g" * 40, JWT, "Pa$$w0rd99xx", "k9#a!Zq@x.com"])
+@pytest.mark.parametrize("form", ["password={}", 'api-key: "{}"', '"token": "{}"', "secret = '{}'"])
+def test_secrets_are_replaced_whole(value, form):
+    text = f"x {form.format(value)} y"
+    new, counts = pii.replace(text, KEY)
+    assert counts["secret"] == 1 and sum(counts.values()) == 1 and len(new) == len(text)
+    at = text.index(value)
+    assert (new[:at], new[at + len(value):]) == (text[:at], text[at + len(value):])
+    got = new[at:at + len(value)]
+    for k in range(0, len(value) - 8, 4):  # no part of it stays in clear
+        assert got[k:k + 12] != value[k:k + 12]
+    assert [c for c in got if not c.isalnum()] == [c for c in value if not c.isalnum()]
+    assert pii.replace(new, KEY, inverse=True)[0] == text
+
+
+def test_a_quoted_secret_with_blanks_and_a_very_long_one():
+    text = 'password="correct horse 42 battery" end'
+    new, _ = pii.replace(text, KEY)
+    assert not any(w in new for w in ("correct", "horse", "battery")) and new.endswith(" end")
+    assert pii.replace(new, KEY, inverse=True)[0] == text
+    text = "token=" + "aB3x" * 100_000
+    assert pii.replace(pii.replace(text, KEY)[0], KEY, inverse=True)[0] == text

@@ -8,10 +8,12 @@ different values stay different, and the holder of the key can undo it.
 
 Kinds: e-mail addresses (the local part; the domain stays), phone numbers (country code and separators stay), payment
 cards (first digit and a valid check digit stay), IBANs (country stays, check digits recomputed), US social security
-numbers, IPv4 addresses, calendar dates from 1900 to 2099, and secrets (access keys, password= and token= values).
+numbers, IPv4 addresses, calendar dates from 1900 to 2099, and secrets: access keys, and the values of password=,
+token= and the like, of any length, up to the closing quote or the next blank (8 characters or more, with a digit; their
+ASCII letters and digits change, punctuation stays).
 Text that does not validate is left alone, so documents without such values come back unchanged.
 
-A row is one task's work, nothing moves between rows; patterns have bounded repeats, so long texts take linear time.
+A row is one task's work, nothing moves between rows; patterns have bounded repeats or one class, so long texts take linear time.
 Defined results: null text stays null, empty text stays empty; repeated rows get equal results; other columns, also
 with clashing names, are kept by ``pseudonymise``.
 """
@@ -59,17 +61,22 @@ def permute(value: int, size: int, key: bytes, tweak: str, inverse: bool = False
 
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _HEX = re.compile(r"(?=[0-9]*[a-f])[0-9a-f]{16,}")
+_LOW_HEX = re.compile(r"[0-9a-f]+")
 
 
-def _permute_letters(s: str, key: bytes, tweak: str, inverse: bool) -> str:
-    """Letters and digits of ``s`` permuted together, each within its class (or within hex digits); all else stays."""
-    hexed = bool(_HEX.fullmatch(s))
-    alphabets = ("0123456789abcdef",) if hexed else _ALPHABETS
+#: Places of one permutation; a longer value is permuted block by block (one number for all would take quadratic time).
+_BLOCK = 128
+
+
+def _permute_places(s: str, alphabets: tuple, key: bytes, tweak: str, inverse: bool, same: Callable) -> str:
+    """Characters of ``s`` that are in an alphabet, permuted together, each within its alphabet; all else stays.  The
+    cycle is walked until ``same`` tells the new string like the old one."""
     places = [(i, a) for i, c in enumerate(s) for a in alphabets if c in a]
     value, size = 0, 1
     for i, a in places:
         value, size = value * len(a) + a.index(s[i]), size * len(a)
     shape = ".".join(str(len(a)) for _, a in places)  # the format is part of the tweak
+    kind = same(s)
     while True:
         value, out = permute(value, size, key, f"{tweak}|{shape}", inverse), list(s)
         rest = value
@@ -77,10 +84,28 @@ def _permute_letters(s: str, key: bytes, tweak: str, inverse: bool) -> str:
             rest, k = divmod(rest, len(a))
             out[i] = a[k]
         new = "".join(out)
-        if not hexed or _HEX.fullmatch(new):  # a walk along the cycle until the format is kept
+        if same(new) == kind:
             return new
 
 
+def _permute_letters(s: str, key: bytes, tweak: str, inverse: bool) -> str:
+    """Letters and digits of ``s`` permuted together, each within its class (or within hex digits); all else stays."""
+    places = [i for i, c in enumerate(s) if c.isascii() and c.isalnum()]
+    if len(places) <= _BLOCK:
+        alphabets = ("0123456789abcdef",) if _HEX.fullmatch(s) else _ALPHABETS
+        return _permute_places(s, alphabets, key, tweak, inverse, lambda x: bool(_HEX.fullmatch(x)))
+    out, before = list(s), b""
+    for at in range(0, len(places), _BLOCK):  # the tweak of a block has the digest of the plain blocks before it
+        part = places[at:at + _BLOCK]
+        block = "".join(s[i] for i in part)
+        alphabets = ("0123456789", "abcdef") if _LOW_HEX.fullmatch(block) else _ALPHABETS
+        new = _permute_places(block, alphabets, key, f"{tweak}|{at}|{before.hex()}", inverse, lambda x: bool(_LOW_HEX.fullmatch(x)))
+        for i, c in zip(part, new):
+            out[i] = c
+        before = hashlib.blake2b(before + (new if inverse else block).encode(), digest_size=16).digest()
+    return "".join(out)
+
+
 def _put_digits(s: str, digits: str) -> str:
     """``digits`` in the places of the digits of ``s``."""
     it = iter(digits)
@@ -195,8 +220,10 @@ _NUMBERS = re.compile("|".join((
     _B + r"(?P<card>[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + r"(?![\w-])",
 )))
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
+#: A named value is all of what is in its quotes, or else all up to the next blank or quote.
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?P<a>A[KS]IA[A-Z0-9]{16})(?![A-Za-z0-9])"
-                     r"|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?(?P<b>[A-Za-z0-9+/_-]{8,128})")
+                     r"|(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
+                     r"(?:\"(?P<b>[^\"\r\n]{8,})\"|'(?P<c>[^'\r\n]{8,})'|[\"']?(?P<d>[^\s\"']{8,}))")
 _HINT = re.compile(r"[0-9@]")
 _SECRET_HINT = re.compile(r"A[KS]IA|[=:]")
 _MAKERS: dict[str, Callable] = {"iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card,
@@ -204,11 +231,17 @@ _MAKERS: dict[str, Callable] = {"iban": _iban, "date": _date, "ip": _ip, "ssn":
 
 
 @lru_cache(maxsize=100_000)
-def pseudonym(kind: str, value: str, key: bytes, inverse: bool = False) -> str | None:
-    """The pseudonym of a value, or None if it isn't a valid value of its kind."""
+def _pseudonym(kind: str, value: str, key: bytes, inverse: bool) -> str | None:
     return _MAKERS[kind](value, key, inverse)
 
 
+def pseudonym(kind: str, value: str, key: bytes, inverse: bool = False) -> str | None:
+    """The pseudonym of a value, or None if it isn't a valid value of its kind; long values are not kept in memory."""
+    if len(value) > 256:
+        return _MAKERS[kind](value, key, inverse)
+    return _pseudonym(kind, value, key, inverse)
+
+
 def replace(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str, int]]:
     """The text with all values replaced, and how many of each kind."""
     counts = dict.fromkeys(KINDS, 0)
@@ -228,9 +261,9 @@ def replace(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str
         return pseudonym("email", m.group(), key, inverse)
 
     def secret(m: re.Match) -> str:
-        name = "a" if m.group("a") else "b"
+        name = m.lastgroup
         s = m.group(name)
-        if name == "b" and not re.search("[0-9]", s):
+        if name != "a" and not re.search("[0-9]", s):
             return m.group()
         counts["secret"] += 1
         at = m.start(name) - m.start()
