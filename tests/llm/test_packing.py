@@ -20,6 +20,24 @@ def test_ids_equal_the_tokenizers_library(rows):
         assert e.encode(t) == np.array(ids, dtype="<u4").tobytes()
 
 
+SPECIAL = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|>  x\n", "<|endoftext|><|endoftext|> a  <|endoftext|", "a  <|endoftext|>  b"]
+
+
+def test_ids_with_special_tokens_equal_the_library_in_its_default_setting(rows):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(tokens.default_vocabulary())
+    texts = [r[1] or "" for r in rows] + SPECIAL
+    e = tokens.Encoder(special=True)
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert e.encode(text) == np.array(want.ids, dtype="<u4").tobytes()
+
+
+def test_packing_takes_the_ids_of_special_tokens(spark):
+    df = spark.createDataFrame([(1, SPECIAL[0])], "doc_id long, text string")
+    r = packing.pack(df).first()
+    assert r.ids_crc32 == zlib.crc32(np.array([64, 50256, 65, tokens.END_ID], dtype="<u4").tobytes()) and r.doc_tokens == 4
+
+
 def test_every_id_lies_in_one_piece_and_sequences_are_gapless(docs, rows):
     got = packing.pack(docs, seq_len=64, group_pieces=50).collect()
     bins = defaultdict(list)

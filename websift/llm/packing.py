@@ -8,7 +8,7 @@ independently, with no shuffle of texts: only piece descriptions (a few numbers
 
 Defined results: a null text counts as empty and has one piece, the end id; a text longer than a sequence fills whole
 sequences and leaves its tail to be packed; repeated rows are packed as often as they occur; null doc_ids stay null;
-an empty table gives no pieces; other columns are ignored.
+an empty table gives no pieces; other columns are ignored; a special token's string in a text gets the token's id.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def pieces(df: DataFrame, seq_len: int = SEQ_LEN, vocabulary: str | None = None,
     """One row per piece; ``_rid`` numbers the rows of the table; ``with_ids`` adds the ids (little-endian uint32)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
-        encoder, n = Encoder(vocabulary), TaskContext.get().partitionId() << 40
+        encoder, n = Encoder(vocabulary, special=True), TaskContext.get().partitionId() << 40
         end = np.array([END_ID], dtype="<u4").tobytes()
         for b in batches:
             rows = []

@@ -30,20 +30,22 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """``encode(text)`` gives the ids of a text (null: none) as little-endian bytes of ``dtype``; special tokens'
-    strings in a text are ordinary text."""
+    """``encode(text)`` gives the ids of a text (null: none) as little-endian bytes of ``dtype``.  The strings of the
+    file's added tokens in a text get their ids with ``special``, as in the library's default setting; else they are
+    ordinary text (the library's ``encode_special_tokens``)."""
 
-    def __init__(self, vocabulary: str | None = None, dtype: str = "<u4", pattern: str | None = None):
+    def __init__(self, vocabulary: str | None = None, dtype: str = "<u4", pattern: str | None = None, special: bool = False):
         import tiktoken
         with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         letters = _byte_letters()
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
         self.dtype = dtype
-        self.bpe = tiktoken.Encoding("vocabulary", pat_str=pattern or default_pattern(), mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("vocabulary", pat_str=pattern or default_pattern(), mergeable_ranks=ranks,
+                                     special_tokens=added if special else {})
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return self.bpe.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
+        return self.bpe.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(self.dtype).tobytes()

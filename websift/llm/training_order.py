@@ -39,7 +39,7 @@ SHARD_SEQUENCES = 4096
 FLUSH_SEQUENCES = 8192
 RUN_SEQUENCES = 256
 DTYPE = "<u2"  # ids of a vocabulary of fewer than 65,536; "<u4" for larger ones
-END_ID = PAD_ID = 50256
+END_ID = PAD_ID = 50256  # marks ends alone: its string in a text is encoded as ordinary text
 ROUNDS = 6
 DEFAULT_KEY = "websift-order"
 LEVEL = 3
@@ -75,7 +75,7 @@ def _sequences(df: DataFrame, seq_len: int, vocabulary: str | None, dtype: str)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
-        encoder, packer = Encoder(vocabulary, dtype), zstandard.ZstdCompressor(level=LEVEL)
+        encoder, packer = Encoder(vocabulary, dtype, special=False), zstandard.ZstdCompressor(level=LEVEL)
         end = np.array([END_ID], dtype=dtype).tobytes()
         task, first = TaskContext.get().taskAttemptId(), 0
         buf, inside = bytearray(), []  # ids not yet written; (doc_id, first byte) of the documents in them
