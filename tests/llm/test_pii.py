@@ -90,3 +90,29 @@ def test_a_quoted_secret_with_blanks_and_a_very_long_one():
     assert pii.replace(new, KEY, inverse=True)[0] == text
     text = "token=" + "aB3x" * 100_000
     assert pii.replace(pii.replace(text, KEY)[0], KEY, inverse=True)[0] == text
+
+
+@pytest.mark.parametrize("value", ["+33 6 12 34 56 78", "06 12 34 56 78", "06.12.34.56.78", "555 123 4567", "+34 612 34 56 78", "+49 30 1234567",
+                                   "+44 (0)20 7946 0958", "+1 (017) 555-7713", "12/25/2024", "25/12/2024", "ES91 2100 0418 4502 0005 1332",
+                                   "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "PL61109010140000071219812874", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("form", ["x {}, y", "{} ET", "{} 42 words", "{}"])
+def test_common_formats_are_found_and_come_back(value, form):
+    if form == "{} 42 words" and re.match(r"\+4[49]", value):  # no telling where a number without a fixed length ends
+        return
+    text = form.format(value)
+    new, counts = pii.replace(text, KEY)
+    assert sum(counts.values()) == 1 and value not in new
+    assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", text)
+    assert new[text.index(value) + len(value):] == text[text.index(value) + len(value):]
+    assert pii.replace(new, KEY, inverse=True)[0] == text
+
+
+def test_phones_and_dates_stay_in_their_branch():
+    for i in range(300):
+        for value in (f"+1 ({i % 200:03d}) 555-{i:04d}", f"{i % 200:03d} 123 {i:04d}", f"0{i % 9 + 1} 12 34 56 {i % 100:02d}"):
+            new = pii.pseudonym("phone", value, KEY)
+            assert pii.pseudonym("phone", new, KEY, inverse=True) == value
+    dates = [f"{m:02d}/{d:02d}/2024" for m in range(1, 13) for d in range(13, 29)]
+    new = [pii.pseudonym("date", d, KEY) for d in dates]
+    assert len(set(new)) == len(dates) and all(datetime.datetime.strptime(d, "%m/%d/%Y").day > 12 for d in new)
+    assert [pii.pseudonym("date", d, KEY, inverse=True) for d in new] == dates

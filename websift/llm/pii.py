@@ -134,6 +134,13 @@ def iban_check(country: str, account: str) -> str:
     return str(98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97).zfill(2)
 
 
+#: Length of the IBANs of each country; other countries' are taken as long as they go.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+                25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+                29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
 def _iban(s: str, key: bytes, inverse: bool) -> str | None:
     plain = s.replace(" ", "")
     country, check, account = plain[:2], plain[2:4], plain[4:]
@@ -164,26 +171,62 @@ def _ip(s: str, key: bytes, inverse: bool) -> str | None:
     return ".".join(str(x) for x in v.to_bytes(4, "big"))
 
 
+_FRENCH = re.compile(r"0[1-9][ .-][0-9]{2}[ .-]")
+
+
+def _is_nanp(d: str) -> bool:
+    """North American: area and exchange from 200 on."""
+    return len(d) == 10 and d[0] >= "2" and d[3] >= "2"
+
+
 def _phone(s: str, key: bytes, inverse: bool) -> str | None:
     d = _digits(s)
     if not 8 <= len(d) <= 15:
         return None
+    if _FRENCH.match(s):  # ten digits in pairs: the first is 0, the second is not
+        v = permute(int(d[1:]) - 10 ** 8, 9 * 10 ** 8, key, "phone|pairs", inverse)
+        return _put_digits(s, f"0{v + 10 ** 8}")
     code = ""
     if s.startswith("+"):
         code = "1" if d[0] == "1" else d[:2]
         d = d[len(code):]
-    if len(d) == 10 and code in ("", "1") and d[0] >= "2" and d[3] >= "2":  # North American: area and exchange from 200 on
+    american = code in ("", "1")
+    if american and _is_nanp(d):
         v = permute(((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:]), 800 * 800 * 10_000, key, "phone|nanp", inverse)
         v, line = divmod(v, 10_000)
         area, exchange = divmod(v, 800)
         d = f"{area + 200}{exchange + 200}{line:04d}"
     else:
-        d = str(permute(int(d), 10 ** len(d), key, f"phone|{code}|{len(d)}", inverse)).zfill(len(d))
+        while True:  # a walk along the cycle until the number is outside the North American ranges, as the given one is
+            d = str(permute(int(d), 10 ** len(d), key, f"phone|{code}|{len(d)}", inverse)).zfill(len(d))
+            if not (american and _is_nanp(d)):
+                break
     return _put_digits(s, code + d)
 
 
+@lru_cache(maxsize=1)
+def _late_days() -> tuple[list, dict]:
+    """The days of 1900 to 2099 from the 13th of a month on, which no day-first reading of month/day/year takes."""
+    days = [d for d in (_DAY0 + datetime.timedelta(days=i) for i in range(_DAYS)) if d.day > 12]
+    return days, {d: i for i, d in enumerate(days)}
+
+
+def _month_first(s: str, key: bytes, inverse: bool) -> str | None:
+    month, day, year = (int(x) for x in s.split("/"))
+    try:
+        at = _late_days()[1].get(datetime.date(year, month, day))
+    except ValueError:
+        return None
+    if at is None:
+        return None
+    new = _late_days()[0][permute(at, len(_late_days()[0]), key, "date|month first", inverse)]
+    return f"{new.month:02d}/{new.day:02d}/{new.year:04d}"
+
+
 def _date(s: str, key: bytes, inverse: bool) -> str | None:
     p = re.split(r"[-/.]", s)
+    if s[2] == "/" and int(p[1]) > 12:
+        return _month_first(s, key, inverse)
     order = (0, 1, 2) if len(p[0]) == 4 else (2, 1, 0)
     try:
         day = datetime.date(*(int(p[i]) for i in order))
@@ -208,17 +251,24 @@ def _secret(s: str, key: bytes, inverse: bool) -> str | None:
 
 
 _B, _E = r"(?<![\w.+-])", r"(?![\w])"
+_IBAN_PATTERN = "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) \
+    + rf"|(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
+#: A digit of a phone number with what may stand before it; numbers of countries with one length end there.
+_D = r"(?:(?:[ .-]?\(?|\)[ .-]?)[0-9])"
 #: One alternative per kind, in this order: the longer and stricter formats first.
 _NUMBERS = re.compile("|".join((
-    _B + r"(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)" + _E,
+    _B + rf"(?P<iban>{_IBAN_PATTERN})" + _E,
     _B + r"(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})" + r"(?![\w-])",
     _B + r"(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})" + r"(?!\.?[\w])",
     _B + r"(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})" + r"(?![\w-])",
     r"(?<![\w+])(?P<phone>\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
-    r"|\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])"
+    rf"|\+(?:3[34]{_D}{{9}}|44{_D}{{10}})(?![0-9])|\+[2-9]{_D}{{7,14}}(?![0-9])"
+    r"|(?<![.-])0[1-9](?P<pair>[ .-])[0-9]{2}(?:(?P=pair)[0-9]{2}){3}(?!\w|[.-][0-9])"
+    r"|(?<![.-])[0-9]{3} [0-9]{3} [0-9]{4}(?!\w|[.-][0-9])"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w.-]))",
     _B + r"(?P<card>[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + r"(?![\w-])",
 )))
+_KINDS = tuple(k for k in _NUMBERS.groupindex if k in KINDS)
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 #: A named value is all of what is in its quotes, or else all up to the next blank or quote.
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?P<a>A[KS]IA[A-Z0-9]{16})(?![A-Za-z0-9])"
@@ -249,7 +299,7 @@ def replace(text: str, key: bytes, inverse: bool = False) -> tuple[str, dict[str
         return text, counts
 
     def numbers(m: re.Match) -> str:
-        kind = m.lastgroup
+        kind = next(k for k in _KINDS if m.group(k) is not None)
         new = pseudonym(kind, m.group(), key, inverse)
         if new is None:
             return m.group()
