@@ -105,3 +105,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND NOT (n_words >= {q.MIN_WORDS_FOR_COMMON} AND {known} AND common_distance > {q.MAX_COMMON_DISTANCE}) AS kept
 FROM failed
 """
+
+#: A control string with any backslashes after its first character, and the same with one more.
+_HELD = r"(\[\\*/?INST\]|<\\*/s>|<\\*\|endoftext\|>)"
+
+CHAT = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+shown AS (
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role, '{_HELD}')) + len(regexp_extract_all(text, '{_HELD}'))
+            + length('[INST][/INST]</s>') AS chars,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id
+"""

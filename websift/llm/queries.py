@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, jaccard, mixing, oracles, packing, pii, quality, sharding, toxicity, training_order, warc
+from . import chat, embeddings, jaccard, mixing, oracles, packing, pii, quality, sharding, toxicity, training_order, warc
 from .common import documents, prepare
 
 QUERIES: dict = {}
@@ -74,3 +74,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_training_order")
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.order(documents(spark, sf_dir))
+
+
+@query("op12_chat", oracles.CHAT)
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(documents(spark, sf_dir, "conversations"))
