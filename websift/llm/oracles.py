@@ -123,3 +123,39 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM shown GROUP BY conv_id
 """
+
+#: Unsigned crc32 of an ASCII string, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::UBIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda z: 0::UBIGINT)),
+    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)), 4294967295::UBIGINT)"""
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+name AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, CAST({_CRC.format('s')} % 6 AS BIGINT) AS h FROM name),
+r AS (
+  SELECT c.conv_id, 0 AS seg, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+seq AS (
+  SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY seg, pos) FILTER (seg IS NOT NULL), []) AS s
+  FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+step AS (SELECT conv_id, d AS depth, sha256(CAST(to_json(s[1:d]) AS VARCHAR)) AS k, len(s) AS m,
+                CASE WHEN d > 0 THEN length(s[d].text) ELSE 0 END AS chars
+         FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)),
+node AS (
+  SELECT min(conv_id) AS owner, depth, k, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (m = depth), '')) AS ends_sha256
+  FROM step GROUP BY depth, k),
+path AS (SELECT conv_id, depth, owner FROM step JOIN node USING (depth, k)),
+tree AS (SELECT n.*, p.owner AS up FROM node n LEFT JOIN path p ON p.conv_id = n.owner AND p.depth = n.depth - 1),
+child AS (SELECT up AS owner, depth - 1 AS depth, count(*) AS n FROM tree WHERE depth > 0 GROUP BY ALL),
+full_node AS (SELECT tree.*, coalesce(child.n, 0) AS n_children FROM tree LEFT JOIN child USING (owner, depth)),
+under AS (
+  SELECT p.owner, p.depth, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens
+  FROM full_node f JOIN path p ON p.conv_id = f.owner AND p.depth <= f.depth GROUP BY ALL)
+SELECT f.owner AS conv_id, CAST(f.depth AS BIGINT) AS depth, f.up AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, f.ends_sha256
+FROM full_node f JOIN under u ON u.owner = f.owner AND u.depth = f.depth
+"""
