@@ -296,8 +296,8 @@ def rollup(tree: DataFrame, paths: DataFrame, in_task: int = IN_TASK) -> DataFra
     ``tree``: owner, depth, up (parent's owner), size (nodes in the subtree), leaf, saved; ``paths``: for each owner
     conv_id the owner at each depth and ``above``, the owner one turn less deep."""
     root = tree.where("depth = 0").select("owner", "size").first() or (0, 0)  # without a root there are no nodes
-    state = tree.select("owner", "depth", "up", "size", "leaf", "saved", *(F.lit(x).cast("long").alias(n) for x, n in zip(
-        (root[0], 0, root[1]), (*TOP, "total"))))
+    state = cut(tree.select("owner", "depth", "up", "size", "leaf", "saved", *(F.lit(x).cast("long").alias(n) for x, n in zip(
+        (root[0], 0, root[1]), (*TOP, "total")))), "state")
     small, sums = [state.where(F.col("total") <= in_task)], []
     while True:
         big = state.where(F.col("total") > in_task)
