@@ -65,11 +65,7 @@ def test_nodes_equal_brute_force(spark):
 def test_rounds_in_spark_give_the_same(spark):
     """Small limits make Spark split the components down to a few nodes, and strings of a few ids."""
     rows = [r for r in table(120, 9) if r[0] is None or r[0] < 600]
-    old, trie.CHUNK = trie.CHUNK, 3
-    try:
-        assert got(spark.createDataFrame(rows, SCHEMA), in_task=40) == brute([r[:4] for r in rows])
-    finally:
-        trie.CHUNK = old
+    assert got(spark.createDataFrame(rows, SCHEMA), in_task=40, chunk=3) == brute([r[:4] for r in rows])
 
 
 def test_plain_trie(spark):

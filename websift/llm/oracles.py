@@ -159,3 +159,35 @@ under AS (
 SELECT f.owner AS conv_id, CAST(f.depth AS BIGINT) AS depth, f.up AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, f.ends_sha256
 FROM full_node f JOIN under u ON u.owner = f.owner AND u.depth = f.depth
 """
+
+COLLOCATIONS = r"""
+WITH piece AS (
+  SELECT row_number() OVER () AS id, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+word AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece)),
+gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3
+  FROM word, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, p, CAST(count(*) AS HUGEINT) AS c, min(w1) AS w1, min(CASE WHEN k > 1 THEN w2 END) AS w2, min(CASE WHEN k > 2 THEN w3 END) AS w3
+      FROM gram GROUP BY lang, k, p),
+n AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k > 1 AND c >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.p, c.c AS a, x AS cut,
+         CASE x WHEN 1 THEN c.w1 ELSE concat_ws(' ', c.w1, c.w2) END AS lp,
+         CASE WHEN c.k = 2 THEN c.w2 WHEN x = 1 THEN concat_ws(' ', c.w2, c.w3) ELSE c.w3 END AS rp
+  FROM cand c, (SELECT unnest([1, 2]) AS x) WHERE x < c.k),
+scored AS (
+  SELECT cuts.*, l.c AS l, r.c AS r, 1000000 * a * a // (l.c * r.c) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.k = cut AND l.p = lp JOIN f r ON r.lang = cuts.lang AND r.k = cuts.k - cut AND r.p = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+gone AS (
+  SELECT DISTINCT s.lang, s.p FROM cand s JOIN (
+    SELECT lang, c, concat_ws(' ', w1, w2) AS p FROM cand WHERE k = 3 UNION ALL SELECT lang, c, concat_ws(' ', w2, w3) FROM cand WHERE k = 3) t
+  ON s.lang = t.lang AND s.p = t.p AND s.k = 2 WHERE 100 * t.c >= 50 * s.c)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best JOIN n USING (lang) ANTI JOIN gone USING (lang, p)
+QUALIFY rank <= 2000
+"""

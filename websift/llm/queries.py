@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, jaccard, mixing, oracles, packing, pii, quality, sharding, toxicity, training_order, trie, warc
+from . import chat, collocations, embeddings, jaccard, mixing, oracles, packing, pii, quality, sharding, toxicity, training_order, trie, warc
 from .common import documents, prepare
 
 QUERIES: dict = {}
@@ -84,3 +84,8 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_trie", oracles.TRIE)
 def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(documents(spark, sf_dir, "conversations"))
+
+
+@query("op13_collocations", oracles.COLLOCATIONS)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))

@@ -171,7 +171,7 @@ def steps(df: DataFrame, max_shared: int = 5, family: int = 100) -> tuple[DataFr
     return cut(mine.unionByName(shared), "steps"), cut(ends, "ends")
 
 
-def ends_digest(ends: DataFrame) -> DataFrame:
+def ends_digest(ends: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """SHA-256 of the ascending decimal ids that end at each node, comma-joined."""
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids = None, []
@@ -181,7 +181,7 @@ def ends_digest(ends: DataFrame) -> DataFrame:
         schema = pa.schema([*((k, pa.int64()) for k in KEY), ("at", pa.int64()), ("ids", pa.string())])
         for b in batches:
             for *k, c in zip(*(b.column(x).to_pylist() for x in [*KEY, "conv_id"])):
-                if ids and (k != key or len(ids) >= CHUNK):
+                if ids and (k != key or len(ids) >= chunk):
                     yield row()
                     ids = []
                 key = k
@@ -339,7 +339,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def trie(df: DataFrame, max_shared: int = 5, family: int = 100, in_task: int = IN_TASK) -> DataFrame:
+def trie(df: DataFrame, max_shared: int = 5, family: int = 100, in_task: int = IN_TASK, chunk: int = CHUNK) -> DataFrame:
     """All nodes: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     step, ends = steps(df, max_shared, family)
     nodes = step.groupBy(*KEY).agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs"), F.max("chars").alias("chars"),
@@ -361,6 +361,6 @@ def trie(df: DataFrame, max_shared: int = 5, family: int = 100, in_task: int = I
     tree = cut(tree.withColumn("n_children", F.coalesce("n_children", F.lit(0))).withColumns(
         {"leaf": (F.col("n_children") == 0).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("chars")}), "tree")
     sums = rollup(tree, paths.drop("adds"), in_task)
-    out = tree.join(sums, ["owner", "depth"]).join(ends_digest(ends), KEY, "left")
+    out = tree.join(sums, ["owner", "depth"]).join(ends_digest(ends, chunk), KEY, "left")
     return out.select(F.col("owner").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("up").alias("parent_conv_id"), "n_convs",
                       "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(EMPTY_SHA256)).alias("ends_sha256"))
