@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from websift.llm import toxicity, warc
 
@@ -74,12 +75,12 @@ def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def toxic_table():
+def toxic_table(n=900):
     rng = random.Random(9)
     rows, labels = [], []
-    for i in range(900):
+    for i in range(n):
         words = [f"w{rng.randrange(3000)}" for _ in range(80)] + rng.choices(["the", "of", "and"], k=20)
-        letters = ["".join(chr(97 + int(c)) for c in str(hash((w, 1)) % 10 ** 6)) if w.startswith("w") else w for w in words]
+        letters = ["".join(chr(97 + int(c)) for c in str(zlib.crc32(w.encode()) % 10 ** 6)) if w.startswith("w") else w for w in words]
         bad = i % 8 == 0
         if bad:
             letters[10:10] = rng.sample(["idiot", "scum", "moron", "trashling", "trashes"], 3)
@@ -101,6 +102,28 @@ def test_held_out_accuracy(spark):
     assert right >= 0.97 * len(held) and any(r.predicted for r in held)
 
 
+@pytest.mark.parametrize("times", [0.25, 4])
+def test_the_share_of_toxic_labels_does_not_matter(spark, times):
+    """Labels with a quarter or four times the toxic share of the documents (1 in 8)."""
+    rows, _ = toxic_table(3600)
+    toxic, clean = ([r[0] for r in rows if (r[0] % 8 == 0) == bad] for bad in (True, False))
+    some = toxic[:int(len(clean) * times / (8 - times))]
+    labels = [(d, 1) for d in some] + [(d, 0) for d in clean[:int(len(some) * (8 / times - 1))]]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 8 == 0) for r in held) >= 0.97 * len(held)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.05, 0.2, 0.5])
+def test_class_prior(share):
+    rng = np.random.default_rng(5)
+    n, k = 8000, 40
+    bad = rng.random(n) < share
+    x = (rng.random((n, k)) < np.where(bad[:, None], 0.25, 0.02 * (np.arange(k) % 4))).astype(np.float32)
+    toxic = (rng.random((600, k)) < 0.25).astype(np.float32)
+    assert 0.85 * share <= toxicity.class_prior(toxic, x) <= 1.5 * share
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     rows, labels = toxic_table()
     flipped = [(d, 1 - t if zlib.crc32(str(d).encode()) % 5 == 0 else t, q) for d, t, q in labels]

@@ -11,6 +11,11 @@ least ``MIN_SHARE`` of them hold; each is then counted over all documents, and t
 used.  The classifier is fitted on these texts and about ``MAX_UNLABELLED`` others (only the presence of the features
 is gathered), and scores every whole text.
 
+The class prior is the share of toxic texts among all texts, which the share among the labelled rows need not be near.
+It is estimated from unlabelled text: whatever toxic texts have, all texts have at least prior times as often, so the
+least ratio of both shares, over thresholds of a likelihood ratio, bounds the prior and meets it where clean texts
+hardly reach the threshold.
+
 Defined results: rows are held out when crc32 of doc_id as text is divisible by ``FOLDS`` (null doc_ids are not);
 null, empty and blank texts have no words and get the score of the intercept; repeated labels count once; without a
 toxic training text all scores are 0; an empty table gives an empty result; other columns are ignored.
@@ -37,6 +42,10 @@ MIN_DEVIATIONS = 4
 MAX_TOXIC, MAX_UNLABELLED = 5000, 20_000
 #: Texts of each kind in a step; small batches would make the risk of clean text negative by chance.
 STEPS, BATCH, RATE, PENALTY = 1500, 2048, 0.03, 1e-5
+#: The weights are averaged over so many of the last steps.
+AVERAGED = 500
+#: Thresholds that fewer toxic texts reach say too little about the prior.
+MIN_REACHED = 0.2
 
 # letters of ASCII in lower case, bytes of other letters as they are, 0 for all that separates words
 _LETTER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], dtype=np.uint8)
@@ -119,12 +128,23 @@ def _matrix(rows: list[list[int]], n: int) -> np.ndarray:
     return x
 
 
+def class_prior(toxic: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Estimated share of toxic texts among the unlabelled ones, from the presence of features (rows x features)."""
+    p, u = ((x.sum(axis=0) + 0.5) / (len(x) + 1) for x in (toxic, unlabelled))
+    ratio = np.maximum(0, np.log(p / u))
+    of_toxic, of_all = np.sort(toxic @ ratio), np.sort(unlabelled @ ratio)
+    at = np.unique(of_toxic)
+    reached, everywhere = (1 - np.searchsorted(x, at) / len(x) for x in (of_toxic, of_all))
+    at_most = (everywhere + np.sqrt(everywhere * (1 - everywhere) / len(of_all))) / reached  # one standard deviation more
+    return float(np.clip(at_most[reached >= MIN_REACHED].min(), 0.001, 0.9))
+
+
 def fit_nnpu(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 3) -> tuple[np.ndarray, float]:
     """(weights, intercept) of a logistic model under the non-negative risk, by Adam on mini-batches."""
     rng = np.random.default_rng(seed)
     w = np.zeros(toxic.shape[1] + 1, dtype=np.float32)
     w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros(len(w))
     toxic, unlabelled = (np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]) for x in (toxic, unlabelled))
 
     def sigmoid(z):
@@ -142,17 +162,15 @@ def fit_nnpu(toxic: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int
         grad[:-1] += PENALTY * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         w -= RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return w[:-1], float(w[-1])
+        if t > STEPS - AVERAGED:
+            mean += w / AVERAGED
+    return mean[:-1], float(mean[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
     """(words, weights, intercept), or None without toxic training texts.  ``docs``: doc_id, text; ``labels``: doc_id, toxic."""
     learn = labels.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0) & F.col("toxic").isNotNull())
     per_doc = learn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, positive = per_doc.agg(F.count("*"), F.sum(F.expr("int(toxic = 1)"))).first()
-    if not positive:
-        return None
-    prior = min(0.9, max(0.001, positive / n))  # the share of toxic texts among the judged ones
     order = F.xxhash64(F.lit("nnpu"), "doc_id")  # a fixed random order
     chosen = per_doc.where("toxic = 1").orderBy(order, "doc_id").limit(MAX_TOXIC).select("doc_id")
     # at most MAX_TOXIC ids: the texts of all documents stay where they are
@@ -177,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     some = _matrix(_presence(docs.where(part < MAX_UNLABELLED / n_all), known), len(known))
     if not len(some_toxic) or not len(some):
         return None
-    weights, intercept = fit_nnpu(some_toxic, some, prior)
+    weights, intercept = fit_nnpu(some_toxic, some, class_prior(some_toxic, some))
     return known, weights, intercept
 
 
