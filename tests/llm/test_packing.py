@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from websift.llm import packing, tokens, training_order
 
@@ -32,6 +33,14 @@ def test_ids_with_special_tokens_equal_the_library_in_its_default_setting(rows):
         assert e.encode(text) == np.array(want.ids, dtype="<u4").tobytes()
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "x", "1", "!"])
+def test_long_runs_equal_the_library(unit):
+    text = "x" + unit * 2_000_000 + " <|endoftext|> y"
+    for special in (True, False):
+        assert tokens.Encoder(special=special)._by_library("a <|endoftext|>") == tokens.Encoder(special=special).encode("a <|endoftext|>")
+    assert tokens.Encoder(dtype="<u4").encode(text) == np.array(library_ids([text])[0], dtype="<u4").tobytes()
+
+
 def test_packing_takes_the_ids_of_special_tokens(spark):
     df = spark.createDataFrame([(1, SPECIAL[0])], "doc_id long, text string")
     r = packing.pack(df).first()

@@ -2,14 +2,20 @@
 
 The vocabulary file (JSON: token -> id, ids in merge order) and the pre-tokenizer's pattern are parameters.  The ids
 are those that the ``tokenizers`` library gives with this file (tests compare them); they are computed with
-``tiktoken`` from the same vocabulary, which takes a quarter of the time.
+``tiktoken`` from the same vocabulary, which takes a quarter of the time.  Its pattern matcher backtracks over a run of
+characters of one kind and gives up on runs of several hundred thousand, so texts with a run of more than ``LONG_RUN``
+blanks, letters, digits or signs are encoded by ``tokenizers`` itself: the same ids by the slower way.
 """
 
 from __future__ import annotations
 
 import json
 
+import regex
+
 END_ID = 1
+LONG_RUN = 10_000
+_LONG = regex.compile(rf"\s{{{LONG_RUN},}}+|\p{{L}}{{{LONG_RUN},}}+|\p{{N}}{{{LONG_RUN},}}+|[^\s\p{{L}}\p{{N}}]{{{LONG_RUN},}}+")
 
 
 def default_vocabulary() -> str:
@@ -41,11 +47,21 @@ class Encoder:
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-        self.dtype = dtype
+        self.dtype, self.path, self.special, self.slow = dtype, vocabulary or default_vocabulary(), special, None
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=pattern or default_pattern(), mergeable_ranks=ranks,
                                      special_tokens=added if special else {})
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if len(text) >= LONG_RUN and _LONG.search(text):
+            return self._by_library(text)
         return self.bpe.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(self.dtype).tobytes()
+
+    def _by_library(self, text: str) -> bytes:
+        import numpy as np
+        if self.slow is None:
+            from tokenizers import Tokenizer
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.encode_special_tokens = not self.special
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
