@@ -34,7 +34,7 @@ from .common import cut
 
 #: Fixed by the definition of a piece: punctuation and line ends.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 BITMAP_BITS = 27
 _PIECE_BITS = 19
 _BREAK = b"."  # ends a piece, so it is in no word
