@@ -12,7 +12,7 @@ def norm(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else int(v) if v.is_integer() else round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     return v

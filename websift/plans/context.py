@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import index as IX
+from ..operators import phrases as PH
 from ..operators import store as ST
 from ..session import materialize, materialize_bucketed
 from ..sources import derived as D
@@ -79,6 +80,17 @@ class Ctx:
         # bucketed by term: joins on term shuffle only the other side
         return materialize_bucketed(IX.postings(self.search_docs, IX.text_all_source()), "term")
 
+    @cached_property
+    def text_positions(self) -> DataFrame:
+        """Positional index of the documents' texts."""
+        d = self.t("documents").select(F.col("doc_id").alias("id"), "text")
+        return materialize(PH.positional_index(PH.field_values(d, ["text"])))
+
+    @cached_property
+    def link_positions(self) -> DataFrame:
+        """Positional index of the websites' link fields."""
+        return materialize(PH.positional_index(PH.field_values(self.search_docs, list(PH.LINK_FIELDS))))
+
     @cached_property
     def vocab(self) -> DataFrame:
         return materialize(IX.vocab(self.postings))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..streaming import streams as ST
-from . import q_text, q_votes  # noqa: F401 - register the oracle text reused below
+from . import q_votes  # noqa: F401 - register the oracle text reused below
 from . import sqlkit as S
 from .context import ctx
 from .registry import ORACLE, register
@@ -42,13 +42,35 @@ def stream_crawl(spark, sf_dir):
     return snap.select(F.col("id").alias("page_id"), "title", "rank", "url")
 
 
-@register("stream_index", ops=("T4", "G3", "U2"), sql=ORACLE["term_freq"])
+INDEX_FILES, INDEX_BATCHES = 24, 6
+
+
+def _changes(docs):
+    """Stand-in for a change feed: every document once, some sent again with other words, some deleted, some of these
+    brought back; (doc_id, version, text, deleted)."""
+    def some(mod: int, k: int, version: int, text, deleted: bool):
+        return docs.where(F.col("doc_id") % mod == k).select("doc_id", F.lit(version).cast("long").alias("version"), text.alias("text"),
+                                                             F.lit(deleted).alias("deleted"))
+    text = F.col("text")
+    return some(1, 0, 1, text, False).unionByName(some(3, 0, 2, F.concat_ws(" revised ", text, text), False)) \
+        .unionByName(some(7, 1, 3, F.lit(None).cast("string"), True)).unionByName(some(21, 1, 4, F.lit("back again, back"), False))
+
+
+@register("stream_index", ops=("T4", "G3", "U2"), sql=f"""
+WITH changes AS (
+  SELECT doc_id, 1 AS version, text, false AS deleted FROM documents
+  UNION ALL SELECT doc_id, 2, concat_ws(' revised ', text, text), false FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT doc_id, 3, NULL, true FROM documents WHERE doc_id % 7 = 1
+  UNION ALL SELECT doc_id, 4, 'back again, back', false FROM documents WHERE doc_id % 21 = 1),
+newest AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) = 1),
+tok AS (SELECT doc_id, unnest({S.general_tokens('text')}) AS term FROM newest WHERE NOT deleted)
+SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM tok GROUP BY ALL
+""")
 def stream_index(spark, sf_dir):
-    """Documents arriving in files; postings of touched documents replaced per batch."""
+    """A feed of new, changed and deleted documents in files of any order: the index equals that of the newest versions."""
     c = ctx(spark, sf_dir)
     root = ST.workspace(spark, "index")
     src = os.path.join(root, "in")
-    docs = c.t("documents").select("doc_id", "text")
-    ST.stage_files(docs, src, "doc_id", PIECES)
-    post = ST.run_index(spark, src, docs.schema, root)
-    return post.select("doc_id", "term", F.col("tf").cast("long"))
+    feed = _changes(c.t("documents").select("doc_id", "text"))
+    feed.repartition(INDEX_FILES, "doc_id", "version").write.parquet(src)
+    return ST.run_index(spark, src, feed.schema, root, -(-INDEX_FILES // INDEX_BATCHES))

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import urls as U
+from ..operators import delta_index as DX
 from ..operators import extract as X
-from ..operators import index as IX
 from ..operators import votes as V
 from ..session import checkpoint_dir
 
@@ -188,21 +188,15 @@ def run_crawl(spark: SparkSession, source: str, schema, rules: DataFrame, root:
     return spark.read.parquet(os.path.join(snap_root, f"epoch={last}"))
 
 
-def run_index(spark: SparkSession, source: str, schema, root: str) -> DataFrame:
-    """T4: documents arrive in files; postings of the touched documents are replaced."""
-    post_root = os.path.join(root, "postings")
-
+def run_index(spark: SparkSession, source: str, schema, root: str, files: int = 1) -> DataFrame:
+    """T4: changes (doc_id, version, text, deleted) arrive in files, in any order; every micro-batch of ``files`` files
+    adds a run to the index, and runs are merged in levels.  Returns the postings of the newest versions."""
     def batch(df: DataFrame, epoch: int) -> None:
-        prev = [e for e in _epochs(spark, post_root) if e < epoch]
-        fresh = IX.postings(df.select(F.col("doc_id").alias("id"), "text"), F.col("text"))
-        if prev:
-            old = spark.read.parquet(os.path.join(post_root, f"epoch={prev[-1]}"))
-            fresh = old.join(df.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(os.path.join(post_root, f"epoch={epoch}"))
+        DX.write_run(df, root, epoch)
+        DX.merge_levels(spark, root)
 
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
          .writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(root, "ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    last = _epochs(spark, post_root)[-1]
-    return spark.read.parquet(os.path.join(post_root, f"epoch={last}"))
+    return DX.read(spark, root)
