@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from ..sources.tables import table_count
+from ..streaming import frontier as FR
 from ..streaming import streams as ST
 from . import q_votes  # noqa: F401 - register the oracle text reused below
 from . import sqlkit as S
@@ -74,3 +76,66 @@ def stream_index(spark, sf_dir):
     feed = _changes(c.t("documents").select("doc_id", "text"))
     feed.repartition(INDEX_FILES, "doc_id", "version").write.parquet(src)
     return ST.run_index(spark, src, feed.schema, root, -(-INDEX_FILES // INDEX_BATCHES))
+
+
+#: Seconds between two visits of the stand-in feed, and before a URL may be visited again (never a visit's own second).
+VISIT_SECONDS, RECRAWL_SECONDS = 60, 1801
+
+
+def _visits(c):
+    """Stand-in for a fetcher's output: every page once, a minute apart, with the test tables' link graph as links in
+    its html; every fifth page a second time after all others; (url, html, fetched_at, visit)."""
+    anchors = c.outlinks.groupBy("page_id").agg(F.concat_ws("", F.array_sort(F.collect_list(F.concat(F.lit('<a href="'), "href", F.lit('">link</a>'))))).alias("a"))
+    pages = c.t("pages").join(anchors, "page_id", "left").withColumn("html", F.concat("html", F.coalesce("a", F.lit(""))))
+    n = table_count(c.spark, c.sf_dir, "pages")
+    visits = pages.withColumn("visit", F.col("page_id")).unionByName(pages.where("page_id % 5 = 0").withColumn("visit", F.col("page_id") + n))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("visit") * VISIT_SECONDS)
+    return visits.select("url", "html", at.alias("fetched_at"), "visit"), n
+
+
+@register("stream_frontier", ops=("T1", "J4", "U4", "F18", "P6"), sql=f"""
+WITH RECURSIVE {S.cte_links()},
+visit AS (
+  SELECT page_id, url, page_id AS v FROM pages
+  UNION ALL SELECT page_id, url, page_id + n.n FROM pages, n_pages n WHERE page_id % 5 = 0),
+own_link AS (SELECT page_id, unnest(hrefs) AS href FROM parsed UNION ALL SELECT page_id, href FROM outlinks),
+found AS (
+  SELECT l.page_id, l.href FROM own_link l JOIN pages p USING (page_id)
+  WHERE regexp_matches(l.href, '(?i)^https?://') AND {S.host('l.href')} IS NOT NULL AND {S.host('l.href')} IS DISTINCT FROM {S.host('p.url')}),
+ev0 AS (
+  SELECT url, 1700000000000 + v * {VISIT_SECONDS * 1000} AS ms, 0 AS kind FROM visit
+  UNION SELECT f.href, 1700000000000 + v * {VISIT_SECONDS * 1000}, 1 FROM visit JOIN found f USING (page_id)),
+ev AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ms, kind) AS k FROM ev0),
+st AS (
+  SELECT DISTINCT url, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS q, CAST(NULL AS BIGINT) AS visited, CAST(NULL AS BIGINT) AS due,
+         CAST(0 AS BIGINT) AS n_enq, CAST(0 AS BIGINT) AS n_drop, CAST(NULL AS BIGINT) AS last_enq FROM ev0
+  UNION ALL
+  SELECT url, k, CASE WHEN kind = 0 THEN NULL WHEN q1 IS NOT NULL THEN q1 WHEN free THEN ms END,
+         CASE WHEN kind = 0 THEN ms ELSE visited END,
+         CASE WHEN kind = 0 THEN NULL WHEN q1 IS NOT NULL THEN due1 WHEN NOT free THEN visited + {RECRAWL_SECONDS * 1000} END,
+         n1 + CASE WHEN kind = 1 AND q1 IS NULL AND free THEN 1 ELSE 0 END,
+         n_drop + CASE WHEN kind = 0 AND q1 IS NOT NULL THEN 1 ELSE 0 END,
+         CASE WHEN kind = 1 AND q1 IS NULL AND free THEN ms WHEN fired THEN due ELSE last_enq END
+  FROM (SELECT s.*, fired, e.ms, e.kind, CASE WHEN fired THEN s.due ELSE s.q END AS q1, CASE WHEN fired THEN NULL ELSE s.due END AS due1,
+               s.n_enq + CASE WHEN fired THEN 1 ELSE 0 END AS n1, (s.visited IS NULL OR e.ms >= s.visited + {RECRAWL_SECONDS * 1000}) AS free
+        FROM (SELECT st.url, st.k + 1 AS k, st.q, st.visited, st.due, st.n_enq, st.n_drop, st.last_enq FROM st) s
+        JOIN ev e ON e.url = s.url AND e.k = s.k, LATERAL (SELECT coalesce(s.due <= e.ms, false) AS fired))),
+last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY url ORDER BY k DESC) = 1),
+done AS (SELECT *, coalesce(due <= (SELECT max(ms) FROM ev0), false) AS late FROM last)
+SELECT url, n_enq + CASE WHEN late THEN 1 ELSE 0 END AS n_enqueued, n_drop AS n_dropped,
+       CASE WHEN late THEN due ELSE last_enq END AS last_enqueued_ms, n_enq + CASE WHEN late THEN 1 ELSE 0 END > n_drop AS queued
+FROM done WHERE n_enq > 0 OR late
+""")
+def stream_frontier(spark, sf_dir):
+    """Fetched pages in three deliveries: which URLs were queued, dropped, throttled and queued again."""
+    c = ctx(spark, sf_dir)
+    root = ST.workspace(spark, "frontier")
+    src = os.path.join(root, "in")
+    visits, n = _visits(c)
+    edges = [None, n // 2, n, None]
+    for low, high in zip(edges, edges[1:]):
+        part = visits if low is None else visits.where(F.col("visit") >= low)
+        part = part if high is None else part.where(F.col("visit") < high)
+        part.drop("visit").write.mode("append").parquet(src)
+        actions = FR.run_frontier(spark, src, visits.drop("visit").schema, root, RECRAWL_SECONDS)
+    return FR.urls(actions)
