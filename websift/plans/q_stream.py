@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table_count
 from ..streaming import frontier as FR
+from ..streaming import reanalysis as RA
 from ..streaming import streams as ST
 from . import q_votes  # noqa: F401 - register the oracle text reused below
 from . import sqlkit as S
@@ -139,3 +140,46 @@ def stream_frontier(spark, sf_dir):
         part.drop("visit").write.mode("append").parquet(src)
         actions = FR.run_frontier(spark, src, visits.drop("visit").schema, root, RECRAWL_SECONDS)
     return FR.urls(actions)
+
+
+def _snapshots(c):
+    """Stand-in for the page archive: the given pages as version 1 and, for every other page, a version 2 with another
+    title, without meta tags and with one more link; (page_id, version, url, html)."""
+    one = c.t("pages").select("page_id", F.lit(1).cast("long").alias("version"), "url", "html")
+    html = F.regexp_replace(F.regexp_replace("html", "<meta[^>]*>", ""), "<title>", "<title>Revised ")
+    two = one.where("page_id % 4 = 0").withColumns({"version": F.lit(2).cast("long"), "html": F.concat(html, F.lit('<a href="https://new.example/">new</a>'))})
+    return one.unionByName(two)
+
+
+@register("reanalysed", ops=("T5", "U2", "U7", "T4"), sql=f"""
+WITH outcome AS ({ORACLE["vote_outcomes"]}),
+voted AS (SELECT DISTINCT website_id AS page_id FROM outcome WHERE outcome = 'accepted'),
+page AS (
+  SELECT p.page_id, url, CASE WHEN two THEN 2 ELSE 1 END AS version,
+         CASE WHEN two THEN replace(regexp_replace(html, '<meta[^>]*>', '', 'g'), '<title>', '<title>Revised ') || '<a href="https://new.example/">new</a>'
+              ELSE html END AS html
+  FROM (SELECT pages.*, page_id % 4 = 0 AND page_id IN (SELECT page_id FROM voted) AS two FROM pages) p),
+parsed AS (SELECT page_id, version, {S.title('html')} AS title, {S.body_text('html')} AS text, {S.meta_values('html')} AS meta, {S.hrefs('html')} AS hrefs FROM page)
+SELECT page_id, CAST(version AS BIGINT) AS version, title, CAST(coalesce(len(meta), 0) AS BIGINT) AS n_metadata, CAST(coalesce(len(hrefs), 0) AS BIGINT) AS n_links,
+       CAST(len(list_distinct({S.general_tokens("concat_ws(' ', title, text)")})) AS BIGINT) AS n_terms
+FROM parsed
+""")
+def reanalysed(spark, sf_dir):
+    """Votes as a stream; accepted ones re-extract their page's newest snapshot: websites, children and index terms."""
+    c = ctx(spark, sf_dir)
+    root = ST.workspace(spark, "reanalysis")
+    src = os.path.join(root, "in")
+    ST.stage_files(c.votes, src, "ts", PIECES)
+    snapshots = _snapshots(c)
+    store = RA.Store(spark, os.path.join(root, "store"))
+    store.write(RA.extract(snapshots.where("version = 1")))
+    ST.run_votes(spark, src, c.votes.schema, c.websites, root, q_votes.STRICT_COOLDOWN)
+    RA.run_reanalysis(spark, os.path.join(root, "ranked"), ST.RANKED_SCHEMA, snapshots, store)
+
+    def number(table: str, name: str):
+        return store.read(table).groupBy(F.col("website_id").alias("page_id")).agg(F.count("*").alias(name))
+    terms = store.index().groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n_terms"))
+    out = store.read("websites").withColumnRenamed("id", "page_id").select("page_id", "version", "title")
+    for part in (number("metadata", "n_metadata"), number("links", "n_links"), terms):
+        out = out.join(part, "page_id", "left")
+    return out.fillna(0, ["n_metadata", "n_links", "n_terms"])

@@ -65,6 +65,7 @@ def stage_files(df: DataFrame, folder: str, order_col: str, pieces: int) -> None
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RANKED_SCHEMA = "event_id long, website_id long, accepted boolean, rank_after double"
 LIVE_SCHEMA = "event_id long, ts timestamp, t_us long, website_id long, reaction string, d int"
 
 
@@ -88,7 +89,8 @@ class RankProcessor(StatefulProcessor):
                 ok[k] = True
                 after[k] = r
         self.rank.update((r,))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "accepted": ok, "rank_after": after})
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "website_id": np.full(len(pdf), key[0], dtype=np.int64),
+                            "accepted": ok, "rank_after": after})
 
     def close(self) -> None:
         pass
@@ -143,7 +145,7 @@ def run_votes(spark: SparkSession, source: str, schema, websites: DataFrame, roo
     # every file that has arrived is one trigger; inside it each website's votes are sorted by time
     live = spark.readStream.schema(LIVE_SCHEMA).option("recursiveFileLookup", "true").parquet(live_root)
     ranked = live.groupBy("website_id").transformWithStateInPandas(
-        statefulProcessor=RankProcessor(), outputStructType="event_id long, accepted boolean, rank_after double",
+        statefulProcessor=RankProcessor(), outputStructType=RANKED_SCHEMA,
         outputMode="Append", timeMode="None", initialState=init)
     q2 = (ranked.writeStream.format("parquet").option("path", ranked_root)
           .option("checkpointLocation", os.path.join(root, "ckpt_ranked")).outputMode("append")
@@ -152,7 +154,7 @@ def run_votes(spark: SparkSession, source: str, schema, websites: DataFrame, roo
 
     decided = spark.read.parquet(out_root).drop("epoch")
     live_rows = spark.read.option("recursiveFileLookup", "true").parquet(live_root).select("event_id", "website_id", "reaction")
-    folded = spark.read.parquet(ranked_root)
+    folded = spark.read.parquet(ranked_root).drop("website_id")
     scored = live_rows.join(folded, "event_id").select(
         "event_id", "website_id", "reaction",
         F.when(F.col("accepted"), "accepted").otherwise("out_of_bounds").alias("outcome"),
