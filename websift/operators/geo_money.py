@@ -7,9 +7,43 @@ from pyspark.sql import functions as F
 
 # Exchange rates of the shipped currency configuration (from, to, rate).
 RATES = [
+    ("USD", "ARS", 4.333871),
+    ("USD", "AUD", 1.025768),
     ("USD", "EUR", 0.743676),
-    ("USD", "GBP", 0.647910),
+    ("USD", "BRL", 1.881093),
+    ("USD", "CAD", 1.030815),
+    ("USD", "CLP", 519.0996),
+    ("USD", "CNY", 6.387310),
+    ("USD", "CZK", 18.47134),
+    ("USD", "DKK", 5.515436),
+    ("USD", "HKD", 7.801922),
+    ("USD", "HUF", 215.6169),
+    ("USD", "ISK", 118.1280),
+    ("USD", "INR", 49.49088),
+    ("USD", "XDR", 0.641358),
+    ("USD", "ILS", 3.709739),
+    ("USD", "JPY", 76.32419),
+    ("USD", "KRW", 1169.173),
+    ("USD", "KWD", 0.275142),
+    ("USD", "MXN", 13.85895),
+    ("USD", "NZD", 1.285159),
     ("USD", "NOK", 5.859035),
+    ("USD", "PKR", 87.57007),
+    ("USD", "PEN", 2.730683),
+    ("USD", "PHP", 43.62039),
+    ("USD", "PLN", 3.310139),
+    ("USD", "RON", 3.100932),
+    ("USD", "RUB", 32.14663),
+    ("USD", "SAR", 3.750465),
+    ("USD", "SGD", 1.299352),
+    ("USD", "ZAR", 8.329761),
+    ("USD", "SEK", 6.883442),
+    ("USD", "CHF", 0.906035),
+    ("USD", "TWD", 30.40283),
+    ("USD", "THB", 30.89487),
+    ("USD", "AED", 3.672955),
+    ("USD", "UAH", 7.988582),
+    ("USD", "GBP", 0.647910),
     ("EUR", "GBP", 0.869914),
     ("EUR", "NOK", 7.800095),
     ("GBP", "NOK", 8.966508),

@@ -12,8 +12,8 @@ from . import sqlkit as S
 from .context import ctx
 from .registry import register
 
-# Currency of a customer by nation key modulo 4.
-CURRENCIES = ["USD", "EUR", "GBP", "NOK"]
+# Currency of a customer: by its key, every currency of the rate table and one that has no rate.
+CURRENCIES = [GM.DEFAULT_CURRENCY, *(b for a, b, _ in GM.RATES if a == GM.DEFAULT_CURRENCY), "XXX"]
 GEO_POINT, GEO_KM = (45.0, 10.0), 2500.0
 RANDOM_SEED = 7
 HASH_MUL, HASH_MOD = 1103515245, 2147483648
@@ -28,7 +28,7 @@ def _money_sql() -> str:
                     f"(SELECT r2.rate FROM rates r2 WHERE r2.src = 'USD' AND r2.dst = '{t}')), 4) AS in_{t.lower()}")
     return f"""
 WITH rates AS (SELECT * FROM {S.values_table(GM.rate_rows(), ['src', 'dst', 'rate'])}),
-c AS (SELECT c_custkey, c_acctbal, {codes}[(c_nationkey % 4) + 1] AS code FROM customer)
+c AS (SELECT c_custkey, c_acctbal, {codes}[(c_custkey % {len(CURRENCIES)}) + 1] AS code FROM customer)
 SELECT c.c_custkey, c.code, round(c.c_acctbal, 4) AS amount, {', '.join(conv)} FROM c
 """
 
@@ -37,7 +37,7 @@ SELECT c.c_custkey, c.code, round(c.c_acctbal, 4) AS amount, {', '.join(conv)} F
 def money_convert(spark, sf_dir):
     c = ctx(spark, sf_dir).t("customer")
     codes = F.array(*[F.lit(x) for x in CURRENCIES])
-    d = c.select("c_custkey", "c_acctbal", F.element_at(codes, (F.pmod("c_nationkey", F.lit(4)) + 1).cast("int")).alias("code"))
+    d = c.select("c_custkey", "c_acctbal", F.element_at(codes, (F.pmod("c_custkey", F.lit(len(CURRENCIES))) + 1).cast("int")).alias("code"))
     rates = GM.rate_table(spark)
     for t in ("USD", "EUR", "NOK"):
         d = GM.with_converted(d, "c_acctbal", "code", t, rates, f"in_{t.lower()}")

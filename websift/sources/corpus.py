@@ -23,9 +23,7 @@ def read_corpus(spark: SparkSession, folder: str, genres: list[str] = GENRES) ->
 
 def cached(df_builder, path: str, spark: SparkSession) -> DataFrame:
     """A3: read the features stored at ``path``; compute and store them when absent."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not stored yet
-        df = df_builder()
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df_builder().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
