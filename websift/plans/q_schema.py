@@ -27,7 +27,7 @@ def _money_sql() -> str:
                     f"(SELECT r1.rate FROM rates r1 WHERE r1.src = c.code AND r1.dst = 'USD') * "
                     f"(SELECT r2.rate FROM rates r2 WHERE r2.src = 'USD' AND r2.dst = '{t}')), 4) AS in_{t.lower()}")
     return f"""
-WITH rates AS (SELECT * FROM {S.values_table(GM.rate_rows(), ['src', 'dst', 'rate'])}),
+WITH rates AS (SELECT src, dst, CAST(rate AS DOUBLE) AS rate FROM {S.values_table(GM.rate_rows(), ['src', 'dst', 'rate'])}),
 c AS (SELECT c_custkey, c_acctbal, {codes}[(c_custkey % {len(CURRENCIES)}) + 1] AS code FROM customer)
 SELECT c.c_custkey, c.code, round(c.c_acctbal, 4) AS amount, {', '.join(conv)} FROM c
 """
