@@ -157,7 +157,8 @@ def shard(df: DataFrame, n_shards: int = 40, doc_id: str = "doc_id", text: str =
     groups = cut(_sorted_groups(rows), "groups")
     starts, _ = find_cuts(groups, n_shards)
     # rows in the order of their groups; a range of one large group can be split, as _rid differs
-    first = rows.groupBy("_key").agg(F.min("doc_id").alias("_first"))
+    # written before the join: Spark splits a hot key's rows only where both sides are bare shuffles
+    first = cut(rows.groupBy("_key").agg(F.min("doc_id").alias("_first")), "first")
     order = ["_first", "_key", "doc_id", "_rid"]
     place = F.monotonically_increasing_id()
     placed = rows.join(first, "_key").repartitionByRange(*order).sortWithinPartitions(*order).select(
