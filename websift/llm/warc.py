@@ -136,6 +136,7 @@ def decisions(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``records`` with refers (page_id) and refers_name (archive/place) for revisits, null for responses."""
     same = ["payload_digest", "payload_bytes"]
     best = records.where(F.col("payload_bytes") >= min_bytes).groupBy(*same).agg(F.max(F.struct("page_id", "archive", "place")).alias("_best"))
+    best = cut(best, "best")  # written before the join: Spark splits a hot key's rows only where both sides are bare shuffles
     d = records.join(best, same, "left")
     revisit = F.col("_best").isNotNull() & ~((F.col("_best.archive") == F.col("archive")) & (F.col("_best.place") == F.col("place")))
     return d.select("archive", "place", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.col("_best.page_id").alias("refers"),
