@@ -176,7 +176,10 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold=TH
     inside = cut(near.join(classes, near["node"] == classes["id"]).select("component", "id", classes["node"], "copies", "size", "sig"), "inside")
     # blocks
     volume = inside.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_classes), F.ceil(F.sum("size") / block_shingles)).alias("blocks"))
-    texts = docs.join(inside.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # one row stands for a class, found by its own key: the copies of a text are spread over tasks and go no further
+    stands = near.join(classes, near["node"] == classes["id"]).select(_row_key(F.col("first_id"), classes["node"]).alias("_key"))
+    texts = docs.withColumn("_key", _row_key(F.col("doc_id"), F.col("node"))).join(stands, "_key", "left_semi") \
+        .groupBy("node").agg(F.first("text").alias("text"))
     dealt = inside.join(volume, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))) \
         .join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
