@@ -118,3 +118,14 @@ def test_training_order_round_trip(spark, docs, rows, tmp_path):
 
 def test_training_order_empty(empty):
     assert training_order.order(empty).count() == 0
+
+
+def test_sequences_are_numbered_by_partition(spark):
+    rows = [(i, f"text number {i} " * (i % 7)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.range(100).repartition(5).count()  # task attempts have gone on
+    for n in (3, 4):
+        runs = training_order._sequences(df.repartition(n, "doc_id"), 16, None, training_order.DTYPE)
+        assert {r.task for r in runs.select("task").collect()} <= set(range(n))
+    again = [sorted(map(tuple, training_order.order(df.repartition(3, "doc_id"), seq_len=16).drop("doc_ids").collect())) for _ in range(2)]
+    assert again[0] == again[1]

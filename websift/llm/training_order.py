@@ -77,7 +77,7 @@ def _sequences(df: DataFrame, seq_len: int, vocabulary: str | None, dtype: str)
         import zstandard
         encoder, packer = Encoder(vocabulary, dtype, special=False), zstandard.ZstdCompressor(level=LEVEL)
         end = np.array([END_ID], dtype=dtype).tobytes()
-        task, first = TaskContext.get().taskAttemptId(), 0
+        task, first = TaskContext.get().partitionId(), 0
         buf, inside = bytearray(), []  # ids not yet written; (doc_id, first byte) of the documents in them
         tokens, docs = [], []
 
