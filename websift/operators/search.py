@@ -41,6 +41,14 @@ def hits(aq: DataFrame, grams: DataFrame, post: DataFrame) -> DataFrame:
     return terms.join(post, "term").select("query_id", "doc_id").distinct()
 
 
+def with_ranks(docs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Search documents with the rank of (id, rank) rows; a document without one keeps its own.
+
+    Ranks change with every accepted vote, so they are joined when a batch is searched and not part of the index."""
+    now = ranks.select("id", F.col("rank").alias("_rank"))
+    return docs.join(now, "id", "left").withColumn("rank", F.coalesce("_rank", "rank")).drop("_rank")
+
+
 def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
            rows: int | None = DEFAULT_ROWS, start: int = 0) -> DataFrame:
     """One row per (query_id, hit) with sort keys and ``pos``; ``rows=None`` keeps all."""

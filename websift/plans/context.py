@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators import dictionary as DI
 from ..operators import extract as X
 from ..operators import index as IX
 from ..operators import phrases as PH
@@ -91,6 +92,16 @@ class Ctx:
         """Positional index of the websites' link fields."""
         return materialize(PH.positional_index(PH.field_values(self.search_docs, list(PH.LINK_FIELDS))))
 
+    @cached_property
+    def link_dictionary(self) -> DataFrame:
+        """Terms of the websites' link fields, for prefixes."""
+        return DI.dictionary(self.link_positions)
+
+    @cached_property
+    def text_dictionary_reversed(self) -> DataFrame:
+        """Terms of the documents' texts by their last letters, for suffixes."""
+        return DI.dictionary(self.text_positions, backwards=True)
+
     @cached_property
     def vocab(self) -> DataFrame:
         return materialize(IX.vocab(self.postings))
