@@ -71,5 +71,33 @@ def test_last_version_of_a_url_counts(spark):
 def test_spelling_finds_another_first_letter(spark):
     vocab = spark.createDataFrame([("thing", 5), ("think", 9), ("a", 1)], "term string, df long")
     words = spark.createDataFrame([("xhing",), ("thing",), ("zzzzzz",), ("b",)], "word string")
-    got = {r.word: (r.suggestion, r.distance) for r in AN.spelling(words, vocab).collect()}
+    got = {r.word: (r.suggestion, r.distance) for r in AN.spelling(words, vocab, AN.spelling_index(vocab)).collect()}
     assert got == {"xhing": ("thing", 1), "b": ("a", 1)}
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_spelling_equals_brute_force(spark, most):
+    import random
+    rng = random.Random(most)
+    word = lambda lo, hi: "".join(rng.choice("abcé") for _ in range(rng.randrange(lo, hi)))
+    terms = {word(1, 12): rng.randrange(1, 9) for _ in range(250)}
+    words = [word(1, 13) for _ in range(120)] + ["", "a" * 40, next(iter(terms)), next(iter(terms)) + "b"]
+    want = {}
+    for w in set(words) - set(terms):
+        close = [(_edits(w, t), -n, t) for t, n in terms.items() if _edits(w, t) <= most]
+        if close:
+            d, n, t = min(close)
+            want[w] = (t, d, -n)
+    vocab = spark.createDataFrame(list(terms.items()), "term string, df long")
+    asked = spark.createDataFrame([(w,) for w in [*words, *words[:5], None]], "word string")
+    got = AN.spelling(asked, vocab, AN.spelling_index(vocab, most), most).collect()
+    assert {r.word: (r.suggestion, r.distance, r.hits) for r in got} == want and len(got) == len(want) > 20

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 
 ALNUM = r"^[\p{L}\p{N}]+$"
+MAX_DIST = 2  # edits between a misspelt word and its suggestion
 
 
 def field_tokens(docs: DataFrame) -> DataFrame:
@@ -93,31 +94,35 @@ def suffix_terms(vocab: DataFrame, suffix: str) -> DataFrame:
     return vocab.where(F.reverse("term").startswith(suffix[::-1]))
 
 
-def _deletions(words: DataFrame, col: str, times: int) -> DataFrame:
-    """``words`` with ``variant``: the word without any 0 to ``times`` of its letters."""
-    def without_one(x):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))),
-                           lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
-    every = last = F.array(F.col(col))
-    for _ in range(times):
-        last = F.array_distinct(F.flatten(F.transform(last, without_one)))
-        every = F.concat(every, last)
-    return words.withColumn("variant", F.explode(F.array_distinct(every)))
+def _pieces(length, n: int):
+    """(i, start, size) of the ``n`` even pieces of a word of ``length`` letters."""
+    at = lambda i: F.floor(length * i / n).cast("int")
+    return F.array(*[F.struct(F.lit(i).alias("i"), at(i).alias("start"), (at(i + 1) - at(i)).alias("size")) for i in range(n)])
 
 
-def spelling(words: DataFrame, vocab: DataFrame, max_dist: int = 2) -> DataFrame:
+def spelling_index(vocab: DataFrame, max_dist: int = MAX_DIST) -> DataFrame:
+    """(piece, i, len, term, df): every term of (term, df) rows in ``max_dist`` + 1 even pieces, one row for each."""
+    v = vocab.where(F.length("term") > 0).select("term", "df", F.length("term").alias("len"))
+    v = v.select("*", F.explode(_pieces(F.col("len"), max_dist + 1)).alias("p"))
+    return v.select(F.substr("term", F.col("p.start") + 1, F.col("p.size")).alias("piece"), F.col("p.i").alias("i"), "len", "term", "df")
+
+
+def spelling(words: DataFrame, vocab: DataFrame, index: DataFrame, max_dist: int = MAX_DIST) -> DataFrame:
     """For words not in the vocabulary, the closest term (distance, then frequency).
 
-    Words at distance d or less become equal when at most d letters are deleted
-    from each, so candidates come from an equi-join on such variants, and the
-    distance decides.  Only vocabulary terms of a length that can match the
-    batch are varied."""
-    miss = words.select("word").distinct().join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
-    lengths = miss.select(F.explode(F.sequence(F.length("word") - max_dist, F.length("word") + max_dist)).alias("len")).distinct()
-    near = vocab.select("term", "df", F.length("term").alias("len")).join(lengths, "len", "left_semi")
-    cand = _deletions(miss, "word", max_dist).join(_deletions(near, "term", max_dist), "variant") \
-        .select("word", "term", "df").distinct().withColumn("distance", F.levenshtein("word", "term")) \
-        .where(F.col("distance") <= max_dist)
+    ``max_dist`` edits leave one of a term's ``max_dist`` + 1 pieces untouched, and move it by ``max_dist`` places at
+    most.  So a word asks, for each length a close term can have, for each piece in each place it can have moved to: an
+    equi-join of some dozens of rows per word with ``spelling_index``, built once for a vocabulary with the same
+    ``max_dist``; the distance decides."""
+    miss = words.select("word").where("word is not null").distinct() \
+        .join(vocab.select(F.col("term").alias("word")), "word", "left_anti").withColumn("n", F.length("word"))
+    asked = miss.select("*", F.explode(F.sequence(F.greatest(F.col("n") - max_dist, F.lit(1)), F.col("n") + max_dist)).alias("len")) \
+        .select("*", F.explode(_pieces(F.col("len"), max_dist + 1)).alias("p")) \
+        .select("*", F.explode(F.sequence(F.col("p.start") - max_dist, F.col("p.start") + max_dist)).alias("at")) \
+        .where((F.col("at") >= 0) & (F.col("at") + F.col("p.size") <= F.col("n"))) \
+        .select("word", "len", F.col("p.i").alias("i"), F.substr("word", F.col("at") + 1, F.col("p.size")).alias("piece")).distinct()
+    cand = asked.join(index, ["piece", "i", "len"]).select("word", "term", "df").distinct() \
+        .withColumn("distance", F.levenshtein("word", "term")).where(F.col("distance") <= max_dist)
     w = Window.partitionBy("word").orderBy("distance", F.col("df").desc(), "term")
     best = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
     return best.select("word", F.col("term").alias("suggestion"), F.col("distance").cast("long"),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators import analysis as AN
 from ..operators import dictionary as DI
 from ..operators import extract as X
 from ..operators import index as IX
@@ -106,6 +107,10 @@ class Ctx:
     def vocab(self) -> DataFrame:
         return materialize(IX.vocab(self.postings))
 
+    @cached_property
+    def spelling_index(self) -> DataFrame:
+        return materialize(AN.spelling_index(self.vocab), "piece")
+
     @cached_property
     def grams(self) -> DataFrame:
         return materialize_bucketed(IX.vocab_grams(self.vocab), "gram")

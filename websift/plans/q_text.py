@@ -142,7 +142,7 @@ SELECT word, term AS suggestion, CAST(dist AS BIGINT) AS distance, CAST(df AS BI
 def did_you_mean(spark, sf_dir):
     c = ctx(spark, sf_dir)
     words = spark.createDataFrame([(w,) for w in SPELL_WORDS], "word string")
-    return AN.spelling(words, c.vocab)
+    return AN.spelling(words, c.vocab, c.spelling_index)
 
 
 @register("stop_filter", ops=("S12", "S14", "S11"), sql=f"""
