@@ -21,6 +21,13 @@ def text_all_source(prefix: str = "") -> Column:
                        c("rank").cast("string"), c("type_of_website"))
 
 
+def text_all_values() -> Column:
+    """Q26: the values of the 8 copied fields, for positions that no phrase crosses from one value to the next."""
+    one = lambda *names: F.array(*[F.col(n).cast("string") for n in names])
+    many = lambda n: F.coalesce(F.col(n), F.array().cast("array<string>"))
+    return F.concat(one("title"), many("metadata"), one("text", "url", "base_url"), many("external_links"), one("rank", "type_of_website"))
+
+
 def postings(docs: DataFrame, source: Column, tokenizer=TX.general_tokens, id_col: str = "id") -> DataFrame:
     """(doc_id, term, tf): one row per distinct term of a document.
 

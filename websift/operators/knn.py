@@ -1,12 +1,15 @@
 """Exact k-nearest-neighbour vote.
 
-Test and training rows are cut into blocks of at most ``block_rows``; every
-(test block, training block) pair meets in one cogroup task, which keeps only
-the k nearest training rows per test row (numpy distances in chunks).  The
-per-block candidates (k per test row per training block) are merged with a
-``row_number`` cut.  No pair list is ever materialised, and no side is
-broadcast whole.  For inputs where exact search is too costly,
-``approx_neighbours`` gives the LSH join.
+Training rows belong to the cell of their nearest pivot; a cell is cut into rings of distance from its pivot.  For a test
+row and a ring the triangle inequality gives a least and a largest possible distance, and the border between two cells
+another least one.  A test row first visits the rings that surely hold k rows; its k-th distance there is a radius, and
+it then visits the rings that can hold a row within it, and no others.  The result is that of comparing all pairs.
+
+Pivots are the training rows with the least hashes, about the square root of their number and at most ``max_pivots``; a
+cell has at most ``MAX_RINGS`` rings, so pivots and ring bounds, which every task holds, are bounded by parameters.  Rings
+of more than ``block_rows`` rows are split by hash, and so are the visitors of a ring, so a task compares about
+``block_rows`` with ``block_rows`` rows, also where a third of all rows are equal.  Rows without a vector have no
+neighbours and are none's; ids are distinct.  For approximate search ``approx_neighbours`` gives the LSH join.
 """
 
 from __future__ import annotations
@@ -18,54 +21,140 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 K = 50
 BLOCK_ROWS = 4096
-CHUNK = 512
-
-
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
-
-
-def neighbours(test: DataFrame, train: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, nb_id, nb_label, dist2, rank) for the k nearest training rows of each test row.
-
-    Both inputs: (id, vec ARRAY<FLOAT|DOUBLE>, label).  Ties by training id."""
-    a = _blocks(test.count(), block_rows)
-    b = _blocks(train.count(), block_rows)
-    te = test.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(a)).alias("ta"),
-                     F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("tb"))
-    tr = train.select("id", "vec", "label", F.pmod(F.xxhash64("id"), F.lit(b)).alias("tb"),
-                      F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("ta"))
+CHUNK = 256
+MAX_PIVOTS = 1024
+MAX_RINGS = 16
+SLACK = 1e-9  # of rounding in the bounds; visits one ring too many rather than one too few
+RING = ["cell", "ring"]
+
+
+def _matrix(vecs: pd.Series) -> np.ndarray:
+    return np.stack(vecs.to_numpy()).astype(np.float64)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+
+
+def pivots(train: DataFrame, max_pivots: int = MAX_PIVOTS) -> np.ndarray:
+    """At most ``max_pivots`` training vectors, chosen by the hash of their ids."""
+    n = min(max_pivots, math.isqrt(train.count()) + 1)
+    return np.array([r["vec"] for r in train.orderBy(F.xxhash64("id"), "id").limit(n).select("vec").collect()], dtype=np.float64)
+
+
+def cells(train: DataFrame, piv: np.ndarray, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, pd.DataFrame]:
+    """Training rows (id, vec, label, cell, ring, salt), and the rings (cell, ring, n, lo, hi, salts)."""
+    def nearest(batches):
+        for b in batches:
+            parts = [_distances(_matrix(b["vec"][s:s + CHUNK]), piv) for s in range(0, len(b), CHUNK)]
+            d = np.concatenate(parts) if parts else np.zeros((0, len(piv)))
+            yield b.assign(cell=d.argmin(axis=1).astype(np.int32), dist=d.min(axis=1))
+    schema = f"id long, vec {dict(train.dtypes)['vec']}, label int, cell int, dist double"
+    rows = materialize(train.select("id", "vec", F.col("label").cast("int").alias("label")).mapInPandas(nearest, schema))
+    size = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("from"), F.max("dist").alias("to")) \
+        .withColumn("rings", F.least(F.lit(MAX_RINGS), F.ceil(F.col("n") / block_rows)).cast("int")).drop("n")
+    place = F.when(F.col("to") > F.col("from"), F.floor((F.col("dist") - F.col("from")) / (F.col("to") - F.col("from")) * F.col("rings"))).otherwise(0)
+    rows = rows.join(size, "cell").withColumn("ring", F.least(place, F.col("rings") - 1).cast("int")).drop("from", "to", "rings")
+    rings = materialize(rows.groupBy(*RING).agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+                        .withColumn("salts", F.ceil(F.col("n") / block_rows).cast("int")))
+    salted = rows.join(rings.select(*RING, "salts"), RING).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    return materialize(salted.drop("dist")), rings.orderBy(*RING).toPandas()
+
+
+def _bounds(vecs: np.ndarray, piv: np.ndarray, between: np.ndarray, rings: pd.DataFrame):
+    """Least and largest distance of each vector from the rows of each ring."""
+    cell = rings["cell"].to_numpy()
+    d = _distances(vecs, piv)
+    own = d.argmin(axis=1)
+    at, lo, hi = d[:, cell], rings["lo"].to_numpy(), rings["hi"].to_numpy()
+    gap = between[own][:, cell]  # a ring's row is nearer to its own pivot than to the vector's
+    border = np.divide(at ** 2 - d[np.arange(len(d)), own][:, None] ** 2, 2 * gap, out=np.zeros_like(at), where=gap > 0)
+    return np.maximum.reduce([at - hi, lo - at, border, np.zeros_like(at)]), at + hi
+
+
+def _visits(test: DataFrame, piv: np.ndarray, rings: pd.DataFrame, k: int) -> DataFrame:
+    """(id, vec, cell, ring) to visit: with a column ``radius`` in ``test`` the rings within it, without the first ones."""
+    between = _distances(piv, piv)
+    n, cell, ring = (rings[c].to_numpy() for c in ("n", "cell", "ring"))
+    later = "radius" in test.columns
+
+    def visit(batches):
+        for b in batches:
+            for s in range(0, len(b), CHUNK):
+                part = b.iloc[s:s + CHUNK]
+                least, most = _bounds(_matrix(part["vec"]), piv, between, rings)
+                order = np.argsort(most, axis=1, kind="stable")
+                before = np.cumsum(n[order], axis=1) - n[order]
+                chosen = np.zeros(most.shape, dtype=bool)
+                np.put_along_axis(chosen, order, before < k, axis=1)
+                if later:
+                    r = part["radius"].to_numpy()[:, None]
+                    chosen = ~chosen & (least <= r * (1 + SLACK) + SLACK)
+                q, g = np.nonzero(chosen)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[q], "vec": part["vec"].to_numpy()[q], "cell": cell[g], "ring": ring[g]})
+    return test.mapInPandas(visit, f"id long, vec {dict(test.dtypes)['vec']}, cell int, ring int")
+
+
+def _nearest(visits: DataFrame, rows: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(id, nb_id, nb_label, dist2): the k nearest rows of each visited block; ties by training id."""
+    parts = visits.groupBy(*RING).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    salts = rows.select(*RING, "salts").distinct()
+    v = visits.join(parts, RING).join(salts, RING).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("parts", "salts")
+    t = rows.join(parts, RING).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "salts")
 
     def topk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "nb_id": [], "nb_label": [], "dist2": []})
         right = right.sort_values("id", kind="mergesort")
-        R = np.stack(right["vec"].to_numpy()).astype(np.float64)
-        rid = right["id"].to_numpy()
-        rlab = right["label"].to_numpy()
+        m, nb, label = _matrix(right["vec"]), right["id"].to_numpy(), right["label"].to_numpy()
         kk = min(k, len(right))
         out = []
-        L_all = np.stack(left["vec"].to_numpy()).astype(np.float64)
-        lid_all = left["id"].to_numpy()
         for s in range(0, len(left), CHUNK):
-            L = L_all[s:s + CHUNK]
-            d = ((L[:, None, :] - R[None, :, :]) ** 2).sum(axis=2)
+            q = left.iloc[s:s + CHUNK]
+            x = _matrix(q["vec"])
+            d = np.concatenate([((x[:, None, :] - m[None, c:c + CHUNK, :]) ** 2).sum(axis=2) for c in range(0, len(m), CHUNK)], axis=1)
             # stable order by (distance, training id): right side is id-sorted
             idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-            rows = np.arange(len(L))[:, None]
-            out.append(pd.DataFrame({
-                "id": np.repeat(lid_all[s:s + CHUNK], kk),
-                "nb_id": rid[idx].ravel(), "nb_label": rlab[idx].ravel(), "dist2": d[rows, idx].ravel()}))
+            out.append(pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), kk), "nb_id": nb[idx].ravel(), "nb_label": label[idx].ravel(),
+                                     "dist2": np.take_along_axis(d, idx, axis=1).ravel()}))
         return pd.concat(out, ignore_index=True)
+    key = [*RING, "salt", "part"]
+    return v.groupBy(*key).cogroup(t.groupBy(*key)).applyInPandas(topk, "id long, nb_id long, nb_label int, dist2 double")
+
 
-    cand = te.groupBy("ta", "tb").cogroup(tr.groupBy("ta", "tb")).applyInPandas(
-        topk, "id long, nb_id long, nb_label int, dist2 double")
+def _first_k(cand: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy("dist2", "nb_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def neighbours(test: DataFrame, train: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
+               report: dict | None = None) -> DataFrame:
+    """(id, nb_id, nb_label, dist2, rank) for the k nearest training rows of each test row; ties by training id.
+
+    Both inputs: (id, vec ARRAY<FLOAT|DOUBLE>, label).  ``report`` receives the pairs compared and the pairs there are."""
+    test, train = (d.select("id", "vec", "label").where("vec is not null") for d in (test, train))
+    piv = pivots(train, max_pivots)
+    if not len(piv):
+        return train.select("id", F.col("id").alias("nb_id"), F.col("label").cast("int").alias("nb_label"),
+                            F.lit(0.0).alias("dist2"), F.lit(0).alias("rank")).where("false")
+    rows, rings = cells(train, piv, block_rows)
+    early = materialize(_visits(test.select("id", "vec"), piv, rings, k))
+    seen = materialize(_first_k(_nearest(early, rows, k, block_rows), k).drop("rank"))
+    # fewer than k rows in all: every ring has been visited
+    radius = seen.groupBy("id").agg(F.sqrt(F.max("dist2")).alias("radius"))
+    late = materialize(_visits(test.select("id", "vec").join(radius, "id"), piv, rings, k))
+    if report is not None:
+        size = rows.groupBy(*RING).agg(F.count("*").alias("n"))
+        report["compared"] = early.unionByName(late).join(size, RING).agg(F.sum("n")).first()[0] or 0
+        report["pairs"] = test.count() * train.count()
+    return _first_k(seen.unionByName(_nearest(late, rows, k, block_rows)), k)
+
+
 def vote(nbs: DataFrame) -> DataFrame:
     """Majority label among the neighbours; ties go to the smallest label."""
     counts = nbs.groupBy("id", "nb_label").agg(F.count(F.lit(1)).alias("n"))

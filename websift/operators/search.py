@@ -50,9 +50,11 @@ def with_ranks(docs: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
-           rows: int | None = DEFAULT_ROWS, start: int = 0) -> DataFrame:
-    """One row per (query_id, hit) with sort keys and ``pos``; ``rows=None`` keeps all."""
-    h = hits(aq, grams, post)
+           rows: int | None = DEFAULT_ROWS, start: int = 0, found: DataFrame | None = None) -> DataFrame:
+    """One row per (query_id, hit) with sort keys and ``pos``; ``rows=None`` keeps all.
+
+    ``found``: the hits (query_id, doc_id) to order, by default those of the query words."""
+    h = hits(aq, grams, post) if found is None else found
     sw = aq.select("query_id", F.posexplode("sort_words").alias("idx", "w"))
     tf_all = IX.prefix_tf(sw, grams, post)
     d = docs.select(F.col("id").alias("doc_id"), "url", "rank")
@@ -74,8 +76,8 @@ def ranked(aq: DataFrame, docs: DataFrame, grams: DataFrame, post: DataFrame,
     out = per_doc.withColumn("pos", F.row_number().over(w))
     if rows is not None:
         out = out.where((F.col("pos") > start) & (F.col("pos") <= start + rows))
-    found = h.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_found"))
-    out = out.join(found, "query_id")
+    num_found = h.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_found"))
+    out = out.join(num_found, "query_id")
     # display fields only for the rows that survived the cut
     shown = docs.select(F.col("id").alias("doc_id"), "title", "text")
     return out.join(shown, "doc_id")

@@ -88,6 +88,12 @@ class Ctx:
         d = self.t("documents").select(F.col("doc_id").alias("id"), "text")
         return materialize(PH.positional_index(PH.field_values(d, ["text"])))
 
+    @cached_property
+    def all_positions(self) -> DataFrame:
+        """Positional index of the catch-all field: the values of the copied fields, one after the other."""
+        d = self.search_docs.select("id", IX.text_all_values().alias("text_all"))
+        return materialize(PH.positional_index(PH.field_values(d, ["text_all"])))
+
     @cached_property
     def link_positions(self) -> DataFrame:
         """Positional index of the websites' link fields."""

@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None, ops: tuple[str, ...] = ()):
 
 
 MODULES = ("q_pages", "q_search", "q_votes", "q_store", "q_facets", "q_misc", "q_text", "q_schema", "q_ml", "q_stream",
-           "q_more", "q_match")
+           "q_more", "q_match", "q_synonyms")
 _LOADED: set[str] = set()
 
 

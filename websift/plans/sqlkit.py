@@ -166,8 +166,38 @@ doc_tok AS (
   FROM docs)"""
 
 
-def cte_search(queries_rows, rank_sql: str = "0.0") -> str:
-    """Brute-force search: every query term against every token of every document."""
+ANY_TERM = "SELECT DISTINCT q.query_id, t.id FROM qterm q JOIN doc_tok t ON starts_with(t.t, q.w)"
+
+
+def cte_synonyms(lines: list[str]) -> str:
+    """syn (source, m, alternatives) and slot (id, chain, pos, n, alternatives) of the word lists ``seq`` (id, chain, s):
+    each list is walked from its first word, over the longest left side found at each place."""
+    pairs = []
+    for line in lines:
+        left, arrow, right = line.partition("=>")
+        pairs += [(a.strip(), b.strip()) for a in left.split(",") for b in (right if arrow else left).split(",")]
+    joined = lambda x: f"array_to_string({words(x)}, ' ')"
+    return f"""syn AS (
+  SELECT {joined('l')} AS source, len({words('any_value(l)')}) AS m, list(DISTINCT {joined('r')} ORDER BY {joined('r')}) AS alternatives
+  FROM {values_table(pairs, ['l', 'r'])} GROUP BY {joined('l')}),
+best AS (
+  SELECT id, chain, pos, max(m) AS m, arg_max(alternatives, m) AS alternatives
+  FROM (SELECT id, chain, s, unnest(range(1, len(s) + 1)) AS pos FROM seq) q JOIN syn ON array_to_string(s[pos:pos + m - 1], ' ') = source
+  GROUP BY ALL),
+walk AS (
+  SELECT id, chain, CAST(1 AS BIGINT) AS pos FROM seq WHERE len(s) > 0
+  UNION ALL
+  SELECT w.id, w.chain, w.pos + coalesce(b.m, 1) FROM walk w LEFT JOIN best b USING (id, chain, pos) JOIN seq q USING (id, chain)
+  WHERE w.pos + coalesce(b.m, 1) <= len(q.s)),
+slot AS (
+  SELECT w.id, w.chain, w.pos - 1 AS pos, coalesce(b.m, 1) AS n, coalesce(b.alternatives, [q.s[w.pos]]) AS alternatives
+  FROM walk w LEFT JOIN best b USING (id, chain, pos) JOIN seq q USING (id, chain))"""
+
+
+def cte_search(queries_rows, rank_sql: str = "0.0", hits_sql: str = ANY_TERM) -> str:
+    """Brute-force search: every query term against every token of every document.
+
+    ``hits_sql``: the hits (query_id, id), by default of any query term."""
     qv = values_table(queries_rows, ["query_id", "q"])
     return f"""{cte_links()},
 {cte_docs(rank_sql)},
@@ -177,7 +207,7 @@ qa AS (SELECT query_id,
          list_transform(regexp_extract_all(coalesce(q, ''), '[a-zA-Z0-9]+'), lambda w: lower(w)) AS sw
        FROM qs),
 qterm AS (SELECT query_id, unnest(terms) AS w FROM qa),
-hits AS (SELECT DISTINCT q.query_id, t.id FROM qterm q JOIN doc_tok t ON starts_with(t.t, q.w)),
+hits AS ({hits_sql}),
 sw AS (SELECT query_id, generate_subscripts(sw, 1) AS idx, unnest(sw) AS w FROM qa),
 tfall AS (SELECT s.query_id, s.idx, t.id, count(*) AS tf FROM sw s JOIN doc_tok t ON starts_with(t.t, s.w)
           WHERE length(s.w) BETWEEN 2 AND 15 GROUP BY ALL),

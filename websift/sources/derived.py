@@ -25,6 +25,9 @@ QUERY_BATCH = [
     (8, "the the"),
 ]
 
+# Synonym rules of the test batch, beside the shipped ones.
+QUERY_SYNONYMS = ["thin the, thou re", "re the => ble on, er", "the => the th, of the", "in the re, in, inth", "of, of the and in => with"]
+
 # Hrefs added to every 50th page so that relative, mail and
 # IP links reach the link extractor.
 NOISE_HREFS = ["/relative/page.html", "mailto:x@y", "http://10.0.0.1/index.html"]
