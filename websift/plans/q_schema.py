@@ -61,6 +61,31 @@ def geo_within(spark, sf_dir):
                                                                  F.round("dist_km", 3).alias("dist_km"))
 
 
+@register("geo_points", ops=("F14",), sql=f"""
+WITH g AS (SELECT c_custkey, CAST((c_custkey * 37 % 180) - 90 AS DOUBLE) AS lat, CAST((c_custkey * 91 % 360) - 180 AS DOUBLE) AS lon FROM customer),
+p AS (SELECT s_suppkey AS point_id, (s_suppkey * 53 % 179) - 88.75 AS plat, (s_suppkey * 71 % 360) - 179.75 AS plon,
+             CAST(10 + 90 * (s_suppkey % 9) AS DOUBLE) AS km FROM supplier),
+b AS (SELECT *, degrees(km / {GM.EARTH_RADIUS_KM}) AS dlat,
+             CASE WHEN abs(plat) + degrees(km / {GM.EARTH_RADIUS_KM}) >= 90 THEN 180.0
+                  ELSE degrees(asin(least(1.0, sin(km / {GM.EARTH_RADIUS_KM}) / cos(radians(plat))))) END AS dlon FROM p),
+d AS (SELECT b.*, g.*, abs(lon - plon) AS turn, {2 * GM.EARTH_RADIUS_KM} * asin(least(1.0, sqrt(pow(sin(radians(plat - lat) / 2), 2)
+             + cos(radians(lat)) * cos(radians(plat)) * pow(sin(radians(plon - lon) / 2), 2)))) AS dist FROM b, g)
+SELECT 'circle' AS mode, point_id, c_custkey, round(dist, 3) AS dist_km FROM d WHERE dist <= km
+UNION ALL SELECT 'box', point_id, c_custkey, round(dist, 3) FROM d WHERE abs(lat - plat) <= dlat AND least(turn, 360 - turn) <= dlon
+""")
+def geo_points(spark, sf_dir):
+    """F14 for a batch: customers within a radius of every supplier, and in the box around it."""
+    c = ctx(spark, sf_dir)
+    g = c.t("customer").select("c_custkey", (F.pmod(F.col("c_custkey") * 37, F.lit(180)) - 90).cast("double").alias("lat"),
+                               (F.pmod(F.col("c_custkey") * 91, F.lit(360)) - 180).cast("double").alias("lon"))
+    key = F.col("s_suppkey")
+    p = c.t("supplier").select(key.alias("point_id"), (F.pmod(key * 53, F.lit(179)) - F.lit(88.75)).alias("lat"),
+                               (F.pmod(key * 71, F.lit(360)) - F.lit(179.75)).alias("lon"), (10 + 90 * F.pmod(key, F.lit(9))).cast("double").alias("km"))
+    found = [GM.near_points(g, p, mode=m).select(F.lit(m).alias("mode"), "point_id", "c_custkey", F.round("dist_km", 3).alias("dist_km"))
+             for m in ("circle", "box")]
+    return found[0].unionByName(found[1])
+
+
 @register("phonetic_match", ops=("F15",))
 def phonetic_match(spark, sf_dir):
     """part-name words grouped by their sound code (soundex; no SQL oracle: DuckDB lacks it)."""
