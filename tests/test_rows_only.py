@@ -79,3 +79,23 @@ def test_more_like_this_uses_the_whole_vocabulary(spark):
                   key=lambda r: (-r[1], r[0]))[:3]
     assert got[0][0] == 101 and [d for d, _ in got] == [d for d, _ in want]
     assert all(abs(a[1] - b[1]) < 1e-8 for a, b in zip(got, want))
+
+
+def test_more_like_this_in_blocks_shuffles_no_pairs(spark):
+    from websift.operators import relevance as RV
+    rows = [(d, f"t{t}", 0.1 + ((d * 7 + t * 3) % 11) / 10) for d in range(60) for t in range(12) if (d + t * t) % 3 == 0]
+    rows += [(1000 + d, t, w) for d, t, w in rows] + [(None, "t0", 1.0)]  # copies: equal scores, ordered by doc_id
+    w = spark.createDataFrame(rows, "doc_id long, term string, weight double").persist()
+    of = {}
+    for d, t, x in rows[:-1]:
+        of.setdefault(d, {})[t] = x
+    want = []
+    for s in range(0, 60, 2):
+        top = dict(sorted(of.get(s, {}).items(), key=lambda x: (-x[1], x[0]))[:3])
+        near = sorted((-round(sum(x * of[d][t] for t, x in top.items() if t in of[d]), 9), d) for d in of if d != s and set(top) & set(of[d]))
+        want += [(s, i, d, -x) for i, (x, d) in enumerate(near[:4], 1)]
+    seeds = spark.createDataFrame([(s,) for s in range(0, 60, 2)] + [(None,)], "doc_id long")
+    df = RV.more_like_this(seeds, w, top_terms=3, n=4, doc_block=16, seed_block=8)
+    assert sorted((r.seed_id, r.pos, r.doc_id, r.score) for r in df.collect()) == sorted(want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(seed_id#\d+L?, doc_id", plan)
