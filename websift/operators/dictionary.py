@@ -11,8 +11,10 @@ What one task holds is one range partition of distinct terms; the driver sees th
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from ..session import materialize
 
 #: ``monotonically_increasing_id`` keeps the partition above these bits.
 PART_BITS = 33
+#: Values of a field and queries that one task of ``matching_docs`` compares, and values in one of its matrices.
+DOC_BLOCK, QUERY_BLOCK, CHUNK = 4096, 1024, 256
 
 
 def _key(term: Column, backwards: bool) -> Column:
@@ -72,12 +76,57 @@ def matches(words: DataFrame, entries: DataFrame, backwards: bool = False) -> Da
     return places.join(entries.select("at", "term"), "at").select("w", "term")
 
 
-def matching_docs(words: DataFrame, entries: DataFrame, index: DataFrame, backwards: bool = False) -> DataFrame:
+def matching_docs(words: DataFrame, entries: DataFrame, index: DataFrame, backwards: bool = False,
+                  doc_block: int = DOC_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, field, doc_id, tf): occurrences in each field of terms that match the words of (query_id, w) rows.
 
-    ``index`` is a positional index; a word given twice counts twice."""
-    asked = words.groupBy("query_id", "w").agg(F.count("*").alias("times"))
+    ``index`` is a positional index; a word given twice counts twice.  Short words match thousands of terms and many
+    queries share them, so terms and queries never meet row by row: each index row goes to the words that its term
+    matches (few), and blocks of documents meet blocks of queries as two matrices, documents by words and words by
+    queries.  A task holds the words of about ``doc_block`` values of a field and of about ``query_block`` queries."""
+    asked = materialize(words.where("w is not null and w != ''").groupBy("query_id", "w").agg(F.count("*").alias("times")))
+    # small numbers instead of words and queries in the blocks
+    numbers = materialize(asked.select("w").distinct().select("w", F.monotonically_increasing_id().alias("word")))
+    queries = materialize(asked.select(F.col("query_id").alias("_id")).distinct().select("_id", F.monotonically_increasing_id().alias("q")))
     # written before the join with the postings: Spark splits a hot term only where both sides are bare shuffles
-    terms = materialize(asked.join(matches(words, entries, backwards), "w").select("query_id", "times", "term"))
-    return terms.join(index, "term").groupBy("query_id", "field", "doc_id") \
-        .agg(F.sum(F.col("times") * F.size("positions")).cast("long").alias("tf"))
+    pairs = materialize(matches(asked, entries, backwards).join(numbers, "w").select("term", "word"))
+    n_docs = max(1, math.ceil(index.agg(F.approx_count_distinct(F.struct("doc_id", "field"))).first()[0] / doc_block))
+    n_queries = max(1, math.ceil(queries.count() / query_block))
+
+    def block(of: int, *cols: str) -> Column:
+        return F.pmod(F.xxhash64(*cols), F.lit(of)).cast("int")
+
+    def every(of: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    batch = asked.join(numbers, "w").join(queries, F.col("query_id").eqNullSafe(F.col("_id"))) \
+        .select(block(n_queries, "q").alias("qb"), every(n_docs).alias("db"), "q", F.col("word").alias("asked"), "times")
+    held = index.join(pairs, "term").select(block(n_docs, "doc_id", "field").alias("db"), every(n_queries).alias("qb"),
+                                            F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_doc"),
+                                            "field", "word", F.size("positions").alias("n"))
+
+    def tally(a: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        terms, row = np.unique(a["asked"].to_numpy(), return_inverse=True)
+        ids, column = np.unique(a["q"].to_numpy(), return_inverse=True)
+        times = np.zeros((len(terms), len(ids)))
+        times[row, column] = a["times"].to_numpy()
+        h = h[h["word"].isin(terms)]
+        key = ["doc_id", "no_doc", "field"]
+        docs = h[key].drop_duplicates()
+        doc, word = h.groupby(key, sort=False).ngroup().to_numpy(), np.searchsorted(terms, h["word"].to_numpy())
+        order = np.argsort(doc, kind="stable")
+        doc, word, n = doc[order], word[order], h["n"].to_numpy()[order]
+        q, tf = [], []
+        for first in range(0, len(docs), CHUNK):
+            some = min(CHUNK, len(docs) - first)
+            part = slice(*np.searchsorted(doc, [first, first + some]))
+            held_words = np.bincount((doc[part] - first) * len(terms) + word[part], n[part], some * len(terms))
+            for found in held_words.reshape(some, len(terms)) @ times:
+                hit = np.flatnonzero(found)
+                q.append(ids[hit])
+                tf.append(found[hit].astype(np.int64))
+        return docs.assign(q=q, tf=tf)
+    found = batch.groupBy("db", "qb").cogroup(held.groupBy("db", "qb")) \
+        .applyInPandas(tally, "doc_id long, no_doc boolean, field string, q array<long>, tf array<long>")
+    found = found.select(F.when(~F.col("no_doc"), F.col("doc_id")).alias("doc_id"), "field", F.explode(F.arrays_zip("q", "tf")).alias("hit"))
+    return found.select("doc_id", "field", "hit.q", "hit.tf").join(queries, "q") \
+        .select(F.col("_id").alias("query_id"), "field", "doc_id", "tf")
