@@ -151,10 +151,15 @@ def near_points(rows: DataFrame, points: DataFrame, lat: str = "lat", lon: str =
     r = rows.where(F.col(lat).between(-90, 90) & F.col(lon).isNotNull()) \
         .withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))) \
         .withColumns({"_y": _cell_y(F.col(lat), row_cells), "_x": _cell_x(F.col(lon), row_cells)})
-    pairs = r.join(p, ["_level", "_y", "_x"])
+    cell = ["_level", "_y", "_x"]
+    # few bytes make many pairs, so Spark would put all cells into few tasks: their number is set, and both sides are shuffled
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = r.repartition(tasks, *cell).join(p.repartition(tasks, *cell).hint("shuffle_hash"), cell)
     p1, p2 = F.radians(F.col(lat)), F.radians(F.col("_lat"))
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(F.col("_lon") - F.col(lon)) / 2), 2)
     pairs = pairs.withColumn("dist_km", F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
     turn = F.abs(F.pmod(F.col(lon) - F.col("_lon") + 180, F.lit(360.0)) - 180)
     inside = F.col("dist_km") <= F.col("_km") if mode == "circle" else (F.abs(F.col(lat) - F.col("_lat")) <= F.col("_dlat")) & (turn <= F.col("_dlon"))
-    return pairs.where(inside).select("point_id", *rows.columns, "dist_km")
+    # most pairs of a cell fail at the latitude, which costs far less than the distance
+    near = F.abs(F.col(lat) - F.col("_lat")) <= F.col("_dlat") + EDGE
+    return pairs.where(near & inside).select("point_id", *rows.columns, "dist_km")
