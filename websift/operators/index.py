@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..session import by_document
 
 
 def text_all_source(prefix: str = "") -> Column:
@@ -31,9 +32,9 @@ def text_all_values() -> Column:
 def postings(docs: DataFrame, source: Column, tokenizer=TX.general_tokens, id_col: str = "id") -> DataFrame:
     """(doc_id, term, tf): one row per distinct term of a document.
 
-    The count is a partial (map-side) + final aggregation, so each map task
-    ships one row per (doc, term) it saw."""
-    return (docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenizer(source)).alias("term"))
+    The source texts are shuffled by document and counted where they lie; no (doc, term) row is shuffled."""
+    return (by_document(docs.select(F.col(id_col).alias("doc_id"), source.alias("source")), "doc_id")
+            .select("doc_id", F.explode(tokenizer(F.col("source"))).alias("term"))
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
