@@ -57,3 +57,15 @@ def test_reference_histograms_are_distributions():
     assert abs(sum(quality.GENERIC_CLASSES) - 1) < 1e-9
     for v in quality.COMMON_REFERENCE.values():
         assert sum(v.values()) < 1 and len(v) == 10
+
+
+def test_text_without_common_words_is_dropped_in_every_language(spark):
+    """The distance of the common words has to be reachable: prose without one of them is no prose of its language."""
+    body = "Bramble lantern orchard whistle copper meadow thimble harbour velvet cinder, marble saddle willow pepper anchor."
+    words = [body.replace("le", f"le{'abcdefgh'[i % 8]}").replace("er", f"er{'klmnopqr'[i % 8]}") for i in range(8)]
+    strange = " ".join(words)
+    rows = [(lang, strange, lang) for lang in quality.COMMON_REFERENCE] + [("none", strange, None)]
+    got = {r.id: r for r in quality.measures(spark.createDataFrame(rows, "id string, text string, lang string"), carry=["id"]).collect()}
+    assert not any(r.base_failed or r.class_distance > quality.MAX_CLASS_DISTANCE for r in got.values())
+    assert all(not got[lang].kept and got[lang].n_words >= quality.MIN_WORDS_FOR_COMMON for lang in quality.COMMON_REFERENCE)
+    assert got["none"].kept  # no language to compare with

@@ -30,9 +30,10 @@ MAX_REPEAT_PERCENT = 30
 #: Guards: histograms of shorter texts aren't judged.
 MIN_CHARS_FOR_CLASSES = 250
 MIN_WORDS_FOR_COMMON = 80
-#: Largest Jensen-Shannon distance that still counts as prose.
+#: Largest Jensen-Shannon distance that still counts as prose.  A text without any common word of its language is 0.304
+#: (de), 0.329 (fr), 0.352 (en) or 0.380 (es) away, so a larger bound of the second would let all such texts pass.
 MAX_CLASS_DISTANCE = 0.20
-MAX_COMMON_DISTANCE = 0.56
+MAX_COMMON_DISTANCE = 0.30
 
 #: Character classes, in this order: lower case, upper case, digit, white space, punctuation, anything else.
 CLASSES = ("lower", "upper", "digit", "space", "punct", "other")
