@@ -102,3 +102,22 @@ def test_unknown_site_uses_up_the_slot(spark):
              (3, T0 + dt.timedelta(seconds=11), 1, "up")]
     got = run(spark, votes, [(1, 0.0)], 10.0)
     assert got[1][0] == "no_website" and got[2][0] == "too_many_requests" and got[3] == ("accepted", 1.0)
+
+
+def test_long_sessions_take_no_more_jobs(spark, monkeypatch):
+    """A session of any length is solved in the same number of steps, over chunk borders, ties and copies of a vote time."""
+    rnd = random.Random(5)
+    steps = []
+    for n in (40, 1500):
+        votes, t = [], T0
+        for eid in range(n):
+            t = t + dt.timedelta(seconds=rnd.choice([0, 0, 1, 2, 9]) if eid % 400 else 5000)
+            votes.append((eid, t, 1, "up"))
+        vdf = spark.createDataFrame(votes, "event_id long, ts timestamp, website_id long, reaction string")
+        cut, real = [], V.materialize
+        monkeypatch.setattr(V, "materialize", lambda df, *keys: cut.append(1) or real(df, *keys))
+        got = {r.event_id: r.slot_ok for r in V.cooldown(vdf, 10.0, hot_rows=0).collect()}
+        monkeypatch.undo()
+        assert got == sequential_slots(votes, 10.0)
+        steps.append(len(cut))
+    assert steps[0] == steps[1]

@@ -36,7 +36,8 @@ STEP = 1.0
 BUCKET_SECONDS = 60               # cooldown scan bucket (window partitions; summary table has one row per bucket)
 CHUNK_SECONDS = 86400             # rank-fold chunk
 BIG = 1 << 40
-HOT_SESSION_ROWS = 2_000_000      # sessions above this size are split by pointer doubling
+HOT_SESSION_ROWS = 2_000_000      # sessions above this size are split into chunks of time
+CHAIN_COOLDOWNS = 16              # cooldowns in such a chunk
 
 
 def _ordered(votes: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def cooldown(votes: DataFrame, seconds: float = COOLDOWN_SECONDS,
     """Add ``slot_ok``: the vote passes the global cooldown.
 
     Sessions with more than ``hot_rows`` votes (a dense stream without a gap
-    longer than the cooldown) are resolved by pointer doubling instead of one
+    longer than the cooldown) are cut into chunks of time instead of one
     sequential scan."""
     hot_rows = HOT_SESSION_ROWS if hot_rows is None else hot_rows
     cd = int(round(seconds * 1_000_000))
@@ -73,12 +74,11 @@ def cooldown(votes: DataFrame, seconds: float = COOLDOWN_SECONDS,
     v = materialize(v)
     sizes = v.groupBy("s_t", "s_id").agg(F.count(F.lit(1)).alias("n"))
     hot = sizes.where(F.col("n") > hot_rows)
-    hot_info = hot.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).first()
-    doubled = None
-    if hot_info["k"]:
+    chunked = None
+    if hot.count():
         hv = v.join(hot.select("s_t", "s_id"), ["s_t", "s_id"], "left_semi")
         v = v.join(hot.select("s_t", "s_id"), ["s_t", "s_id"], "left_anti")
-        doubled = _chain_by_doubling(hv, cd, int(hot_info["m"]))
+        chunked = _chain_by_chunks(hv.select("t_us", "event_id"), cd)
     # whole sessions are routed by the bucket of their start; within a partition
     # rows are in time order, so the greedy chain runs over Arrow batches
     grp = F.floor(F.col("s_t") / F.lit(bucket_seconds * 1_000_000))
@@ -99,53 +99,64 @@ def cooldown(votes: DataFrame, seconds: float = COOLDOWN_SECONDS,
             yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "slot_ok": ok})
 
     flags = sess.mapInPandas(chain, "event_id long, slot_ok boolean")
-    if doubled is not None:
-        flags = flags.unionByName(doubled)
+    if chunked is not None:
+        flags = flags.unionByName(chunked)
     return votes.join(flags, "event_id")
 
 
-def _chain_by_doubling(ev: DataFrame, cd: int, max_rows: int) -> DataFrame:
-    """Greedy cooldown chain of large sessions without a sequential scan.
-
-    ``ev`` (s_t, s_id, t_us, event_id).  next(e) is the first vote of the same
-    session later than t_e + cd: targets and votes are merged in time order per
-    (session, cooldown-length bucket) and a forward ``first`` finds it; a target
-    with none left in its bucket takes the first vote of the next non-empty
-    bucket (carry over the one-row-per-bucket summary).  Jump tables
-    J_{k+1} = J_k o J_k are built with self-joins, and the accepted chain from
-    each session start is expanded in K rounds (each round doubles the known
-    prefix).  Work O(n log n), every step a distributed join."""
-    sess = ["s_t", "s_id"]
-    b = F.floor(F.col("time") / F.lit(cd))
-    votes_ = ev.select(*sess, F.col("t_us").alias("time"), F.lit(0).alias("kind"), "event_id",
-                       F.col("event_id").alias("src"))
-    targets = ev.select(*sess, (F.col("t_us") + F.lit(cd)).alias("time"), F.lit(1).alias("kind"),
-                        F.lit(None).cast("long").alias("event_id"), F.col("event_id").alias("src"))
-    u = votes_.unionByName(targets).withColumn("b", b)
-    fwd = Window.partitionBy(*sess, "b").orderBy("time", "kind", "src") \
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    u = u.withColumn("nxt", F.first(F.when(F.col("kind") == 0, F.col("event_id")), ignorenulls=True).over(fwd))
-    firsts = u.where(F.col("kind") == 0).groupBy(*sess, "b").agg(
-        F.min_by("event_id", F.struct("time", "event_id")).alias("first_id"))
-    carry_w = Window.partitionBy(*sess).orderBy("b").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.withColumn("later", F.first("first_id", ignorenulls=True).over(carry_w)).select(*sess, "b", "later")
-    nxt = (u.where(F.col("kind") == 1).join(firsts, sess + ["b"], "left")
-           .select(F.col("src").alias("id"), F.coalesce("nxt", "later").alias("j")))
-    jumps = [materialize(nxt, "id")]
-    levels = max(1, (max_rows).bit_length())
-    for _ in range(1, levels):
-        prev = jumps[-1]
-        nj = prev.alias("a").join(prev.alias("b2"), F.col("a.j") == F.col("b2.id"), "left") \
-            .select(F.col("a.id").alias("id"), F.col("b2.j").alias("j"))
-        jumps.append(materialize(nj, "id"))
-    starts = ev.select(F.col("s_id").alias("id")).distinct()
-    chain = starts
-    for k in range(levels - 1, -1, -1):
-        step = chain.join(jumps[k], "id").where(F.col("j").isNotNull()).select(F.col("j").alias("id"))
-        chain = materialize(chain.unionByName(step).distinct())
-    return ev.select("event_id").join(chain.select(F.col("id").alias("event_id"), F.lit(True).alias("slot_ok")),
-                                      "event_id", "left") \
-        .select("event_id", F.coalesce("slot_ok", F.lit(False)).alias("slot_ok"))
+def _chain_by_chunks(ev: DataFrame, cd: int, chunk: int | None = None) -> DataFrame:
+    """Greedy cooldown chain of large sessions without one scan over all votes.
+
+    ``ev`` (t_us, event_id).  Time is cut into chunks of some cooldowns.  What a chunk does depends only on the last
+    accepted time L before it: its first accepted vote is the first one later than L + cd, among those of its first
+    cooldown or the next one, and the chain from there gives the chunk's last accepted time.  Neighbouring entries mostly
+    end alike, so a chunk is summed up in a few rows (up_to, exit): an L with L + cd < up_to ends at ``exit``.  The sums
+    are composed in time order, and then every chunk follows its chain from its own L.  Sessions are more than a
+    cooldown apart, so one after another they need no key of their own."""
+    chunk = chunk or CHAIN_COOLDOWNS * cd
+    ev = ev.select(F.floor(F.col("t_us") / F.lit(chunk)).alias("c"), "t_us", "event_id")
+
+    def sums(key, pdf):
+        t = np.sort(pdf["t_us"].to_numpy())
+        end = np.searchsorted(t, t + cd, side="right")
+        at = np.arange(min(len(t), np.searchsorted(t, key[0] * chunk + cd, side="right") + 1))
+        while (end[at] < len(t)).any():  # a jump passes a cooldown, and a chunk has CHAIN_COOLDOWNS of them
+            at = np.where(end[at] < len(t), end[at], at)
+        last = np.append(np.flatnonzero(np.diff(at)), len(at) - 1)
+        return pd.DataFrame({"c": key[0], "up_to": t[last], "exit": t[at[last]]})
+
+    def entries(batches):
+        c, entry, done = None, None, False
+        for pdf in batches:
+            out = []
+            for k, up_to, leave in zip(pdf["c"].tolist(), pdf["up_to"].tolist(), pdf["exit"].tolist()):
+                if k != c:
+                    c, done = k, False
+                    out.append((c, entry))
+                if not done and (entry is None or entry + cd < up_to):
+                    entry, done = leave, True
+            yield pd.DataFrame({"c": [k for k, _ in out], "entry": pd.array([e for _, e in out], dtype="Int64")})
+
+    def chain(batches):
+        c, last = None, None
+        for pdf in batches:
+            ks, t = pdf["c"].to_numpy(), pdf["t_us"].to_numpy()
+            entry = pdf["entry"].astype("Int64")
+            ok = np.zeros(len(t), dtype=bool)
+            first = np.flatnonzero(np.append(True, ks[1:] != ks[:-1])) if len(t) else []
+            for a, b in zip(first, [*first[1:], len(t)]):
+                if ks[a] != c:
+                    c, last = ks[a], None if pd.isna(entry.iloc[a]) else int(entry.iloc[a])
+                i = a if last is None else a + int(np.searchsorted(t[a:b], last + cd, side="right"))
+                while i < b:
+                    ok[i], last = True, int(t[i])
+                    i = a + int(np.searchsorted(t[a:b], last + cd, side="right"))
+            yield pd.DataFrame({"event_id": pdf["event_id"].astype("Int64"), "slot_ok": ok})
+
+    parts = ev.select("c", "t_us").distinct().groupBy("c").applyInPandas(sums, "c long, up_to long, exit long")
+    entry = materialize(parts.repartition(1).sortWithinPartitions("c", "up_to").mapInPandas(entries, "c long, entry long"))
+    return (ev.join(entry, "c").repartition("c").sortWithinPartitions("c", "t_us", "event_id")
+            .mapInPandas(chain, "event_id long, slot_ok boolean"))
 
 
 def _bounds(start_rank):
