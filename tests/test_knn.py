@@ -54,3 +54,17 @@ def test_fewer_rows_than_k_nulls_and_empty_tables(spark):
     assert [(r.id, r.nb_id, r.nb_label, r["rank"]) for r in got] == [(1, 7, None, 1), (1, 5, 1, 2)]
     assert KN.neighbours(test, train.where("false"), 9).count() == 0
     assert KN.neighbours(test.where("false"), train, 9).count() == 0
+
+
+def test_only_rows_that_may_be_among_the_k_leave_a_block(spark):
+    """A block's candidates are bounded by the k-th distance so far, and equal the exact distances' order with copies."""
+    rng = np.random.default_rng(9)
+    x, m = rng.normal(size=(40, 8)) + 1000, rng.normal(size=(600, 8)) + 1000
+    m[50:300], x[:9] = m[3], m[3]
+    d = ((x[:, None] - m[None]) ** 2).sum(axis=2)
+    idx = np.argsort(d, axis=1, kind="stable")[:, :20]
+    q, c, dist = KN._closest(x, m, np.full(40, np.inf), 20)
+    assert c.reshape(40, 20).tolist() == idx.tolist() and dist.tolist() == np.take_along_axis(d, idx, axis=1).ravel().tolist()
+    most = np.sort(d, axis=1)[:, 4]
+    q, c, dist = KN._closest(x, m, most, 20)
+    assert [sorted(c[q == i].tolist()) for i in range(9, 40)] == [sorted(idx[i, :5].tolist()) for i in range(9, 40)]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import by_document, materialize
 
 K = 50
 BLOCK_ROWS = 4096
@@ -37,7 +37,9 @@ def _matrix(vecs: pd.Series) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    step = max(1, (1 << 17) // max(b.size, 1))  # differences that stay in a processor's cache
+    parts = [((a[s:s + step, None, :] - b[None, :, :]) ** 2).sum(axis=2) for s in range(0, len(a), step)]
+    return np.sqrt(np.concatenate(parts)) if parts else np.zeros((0, len(b)))
 
 
 def pivots(train: DataFrame, max_pivots: int = MAX_PIVOTS) -> np.ndarray:
@@ -77,10 +79,11 @@ def _bounds(vecs: np.ndarray, piv: np.ndarray, between: np.ndarray, rings: pd.Da
 
 
 def _visits(test: DataFrame, piv: np.ndarray, rings: pd.DataFrame, k: int) -> DataFrame:
-    """(id, vec, cell, ring) to visit: with a column ``radius`` in ``test`` the rings within it, without the first ones."""
+    """(id, vec, most, cell, ring) to visit: with a column ``most`` (a squared distance) in ``test`` the rings within it,
+    without the first ones."""
     between = _distances(piv, piv)
     n, cell, ring = (rings[c].to_numpy() for c in ("n", "cell", "ring"))
-    later = "radius" in test.columns
+    later = "most" in test.columns
 
     def visit(batches):
         for b in batches:
@@ -92,15 +95,40 @@ def _visits(test: DataFrame, piv: np.ndarray, rings: pd.DataFrame, k: int) -> Da
                 chosen = np.zeros(most.shape, dtype=bool)
                 np.put_along_axis(chosen, order, before < k, axis=1)
                 if later:
-                    r = part["radius"].to_numpy()[:, None]
+                    r = np.sqrt(part["most"].to_numpy()[:, None])
                     chosen = ~chosen & (least <= r * (1 + SLACK) + SLACK)
                 q, g = np.nonzero(chosen)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[q], "vec": part["vec"].to_numpy()[q], "cell": cell[g], "ring": ring[g]})
-    return test.mapInPandas(visit, f"id long, vec {dict(test.dtypes)['vec']}, cell int, ring int")
+                yield pd.DataFrame({"id": part["id"].to_numpy()[q], "vec": part["vec"].to_numpy()[q],
+                                    "most": part["most"].to_numpy()[q] if later else np.inf, "cell": cell[g], "ring": ring[g]})
+    return test.mapInPandas(visit, f"id long, vec {dict(test.dtypes)['vec']}, most double, cell int, ring int")
+
+
+def _closest(x: np.ndarray, m: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of m, squared distance) of the k first rows of ``m`` by (distance, row) that are within ``most``.
+
+    A matrix product gives every squared distance up to rounding; only the rows that may be among the k are then measured
+    exactly.  Rows with non-finite numbers are all measured."""
+    with np.errstate(all="ignore"):
+        xx, mm = (x * x).sum(axis=1), (m * m).sum(axis=1)
+        near = xx[:, None] + mm[None, :] - 2.0 * (x @ m.T)
+        slack = 16 * (x.shape[1] + 8) * np.finfo(np.float64).eps * (xx + mm.max())
+        far = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1], most) + slack
+        chosen = near <= far[:, None]
+        chosen |= ~np.isfinite(xx + mm.max())[:, None]
+        q, c = np.nonzero(chosen)
+        d = np.concatenate([((x[q[s:s + CHUNK * CHUNK]] - m[c[s:s + CHUNK * CHUNK]]) ** 2).sum(axis=1)
+                            for s in range(0, max(len(q), 1), CHUNK * CHUNK)])
+        kept = ~(d > most[q])
+    q, c, d = q[kept], c[kept], d[kept]
+    order = np.lexsort((c, d, q))
+    q, c, d = q[order], c[order], d[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[first], c[first], d[first]
 
 
 def _nearest(visits: DataFrame, rows: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """(id, nb_id, nb_label, dist2): the k nearest rows of each visited block; ties by training id."""
+    """(id, nb_id, nb_label, dist2): the k nearest rows of each visited block that are not farther than the visitor's
+    ``most``; ties by training id."""
     parts = visits.groupBy(*RING).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
     salts = rows.select(*RING, "salts").distinct()
     v = visits.join(parts, RING).join(salts, RING).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) \
@@ -112,16 +140,12 @@ def _nearest(visits: DataFrame, rows: DataFrame, k: int, block_rows: int) -> Dat
             return pd.DataFrame({"id": [], "nb_id": [], "nb_label": [], "dist2": []})
         right = right.sort_values("id", kind="mergesort")
         m, nb, label = _matrix(right["vec"]), right["id"].to_numpy(), right["label"].to_numpy()
-        kk = min(k, len(right))
         out = []
         for s in range(0, len(left), CHUNK):
             q = left.iloc[s:s + CHUNK]
-            x = _matrix(q["vec"])
-            d = np.concatenate([((x[:, None, :] - m[None, c:c + CHUNK, :]) ** 2).sum(axis=2) for c in range(0, len(m), CHUNK)], axis=1)
-            # stable order by (distance, training id): right side is id-sorted
-            idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-            out.append(pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), kk), "nb_id": nb[idx].ravel(), "nb_label": label[idx].ravel(),
-                                     "dist2": np.take_along_axis(d, idx, axis=1).ravel()}))
+            # ties by training id: the right side is id-sorted
+            i, j, d = _closest(_matrix(q["vec"]), m, q["most"].to_numpy(), min(k, len(right)))
+            out.append(pd.DataFrame({"id": q["id"].to_numpy()[i], "nb_id": nb[j], "nb_label": label[j], "dist2": d}))
         return pd.concat(out, ignore_index=True)
     key = [*RING, "salt", "part"]
     return v.groupBy(*key).cogroup(t.groupBy(*key)).applyInPandas(topk, "id long, nb_id long, nb_label int, dist2 double")
@@ -137,7 +161,8 @@ def neighbours(test: DataFrame, train: DataFrame, k: int = K, block_rows: int =
     """(id, nb_id, nb_label, dist2, rank) for the k nearest training rows of each test row; ties by training id.
 
     Both inputs: (id, vec ARRAY<FLOAT|DOUBLE>, label).  ``report`` receives the pairs compared and the pairs there are."""
-    test, train = (d.select("id", "vec", "label").where("vec is not null") for d in (test, train))
+    # spread, as a small file is a single task
+    test, train = (by_document(d.select("id", "vec", "label").where("vec is not null"), "id") for d in (test, train))
     piv = pivots(train, max_pivots)
     if not len(piv):
         return train.select("id", F.col("id").alias("nb_id"), F.col("label").cast("int").alias("nb_label"),
@@ -146,8 +171,8 @@ def neighbours(test: DataFrame, train: DataFrame, k: int = K, block_rows: int =
     early = materialize(_visits(test.select("id", "vec"), piv, rings, k))
     seen = materialize(_first_k(_nearest(early, rows, k, block_rows), k).drop("rank"))
     # fewer than k rows in all: every ring has been visited
-    radius = seen.groupBy("id").agg(F.sqrt(F.max("dist2")).alias("radius"))
-    late = materialize(_visits(test.select("id", "vec").join(radius, "id"), piv, rings, k))
+    kth = seen.groupBy("id").agg(F.max("dist2").alias("most"))
+    late = materialize(_visits(test.select("id", "vec").join(kth, "id"), piv, rings, k))
     if report is not None:
         size = rows.groupBy(*RING).agg(F.count("*").alias("n"))
         report["compared"] = early.unionByName(late).join(size, RING).agg(F.sum("n")).first()[0] or 0
