@@ -2,7 +2,8 @@
 
 A batch of changes (doc_id, version, text, deleted) becomes one run: ``docs`` with the newest change of each of its
 documents (a deletion is a row without postings, a tombstone) and ``postings`` with the terms of those that are not
-deleted.  Nothing older is rewritten, so what a batch writes grows with the batch and not with the index.  Reading
+deleted, all terms of a document in one row.  A batch's texts are shuffled once, by document, and versions are chosen by
+their numbers, so merging and reading move the row of a document and not one for each of its terms.  Nothing older is rewritten, so what a batch writes grows with the batch and not with the index.  Reading
 takes the newest version of each document over all runs, whatever order the changes arrived in, so a document that is
 sent again replaces its postings and one that is deleted loses them, until a newer change brings it back.
 
@@ -18,16 +19,18 @@ whatever batches they came in; a null text has no terms; changes without doc_id
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import index as IX
+from ..functions import text as TX
+from ..session import by_document, materialize
 
 FAN = 4
 VERSION = ["doc_id", "version", "digest"]
 DOCS = "doc_id long, version long, deleted boolean, digest long"
-POSTINGS = "doc_id long, version long, digest long, term string, tf long"
+POSTINGS = "doc_id long, version long, digest long, terms array<string>, tfs array<int>"
 
 
 def runs(spark: SparkSession, root: str) -> list[tuple[int, int]]:
@@ -50,36 +53,44 @@ def _path(root: str, kind: str, run: tuple[int, int]) -> str:
 
 
 def _read(spark: SparkSession, root: str, kind: str, which: list[tuple[int, int]]) -> DataFrame:
+    """The rows of runs with ``run``, the first batch of their run."""
     schema = DOCS if kind == "docs" else POSTINGS
     if not which:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*(_path(root, kind, r) for r in which))
+        return spark.createDataFrame([], schema + ", run int")
+    parts = [spark.read.schema(schema).parquet(_path(root, kind, r)).withColumn("run", F.lit(r[0])) for r in which]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_run(changes: DataFrame, root: str, batch: int) -> None:
     """The newest change of each document of a batch, as one run."""
     rows = changes.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("version").cast("long").alias("version"),
                                                       F.coalesce("deleted", F.lit(False)).alias("deleted"), F.xxhash64("text").alias("digest"), "text")
-    last = rows.groupBy("doc_id").agg(F.max(F.struct("version", "deleted", "digest", "text")).alias("c")).select("doc_id", "c.*")
-    post = IX.postings(last.where("not deleted").select(F.struct(*VERSION).alias("id"), "text"), F.col("text"))
-    post.select("doc_id.*", "term", F.col("tf").cast("long").alias("tf")).write.mode("overwrite").parquet(_path(root, "postings", (batch, batch)))
-    last.select("doc_id", "version", "deleted", "digest").write.mode("overwrite").parquet(_path(root, "docs", (batch, batch)))
+    # a document's rows lie in one partition from here on: its newest text, its counts and its postings need no other shuffle
+    last = by_document(rows, "doc_id").groupBy("doc_id").agg(F.max(F.struct("version", "deleted", "digest", "text")).alias("c")).select("doc_id", "c.*")
+    words = last.where("not deleted").select(*VERSION, F.explode(TX.general_tokens(F.col("text"))).alias("term"))
+    tf = words.groupBy(*VERSION, "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    post = tf.groupBy(*VERSION).agg(F.collect_list(F.struct("term", "tf")).alias("p")).select(*VERSION, F.col("p.term").alias("terms"), F.col("p.tf").alias("tfs"))
+    post.write.mode("overwrite").parquet(_path(root, "postings", (batch, batch)))
+    newest(rows, "version", "deleted", "digest").write.mode("overwrite").parquet(_path(root, "docs", (batch, batch)))
 
 
-def newest(docs: DataFrame) -> DataFrame:
-    """The newest version of each document over runs (numbers only, combined before the shuffle)."""
-    return docs.groupBy("doc_id").agg(F.max(F.struct("version", "deleted", "digest")).alias("c")).select("doc_id", "c.*")
+def newest(docs: DataFrame, *numbers: str) -> DataFrame:
+    """The newest version of each document (numbers only, combined before the shuffle)."""
+    return docs.groupBy("doc_id").agg(F.max(F.struct(*numbers)).alias("c")).select("doc_id", "c.*")
 
 
 def _current(spark: SparkSession, root: str, which: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
-    docs = newest(_read(spark, root, "docs", which))
-    post = _read(spark, root, "postings", which).join(docs.where("not deleted").select(*VERSION), VERSION, "left_semi")
-    return docs, post.dropDuplicates(["doc_id", "term"])  # a change that was sent in two batches
+    # a change that was sent in two batches counts in one of the runs
+    docs = materialize(newest(_read(spark, root, "docs", which), "version", "deleted", "digest", "run"))
+    key = [*VERSION, "run"]
+    post = _read(spark, root, "postings", which).join(docs.where("not deleted").select(*key), key, "left_semi")
+    return docs.drop("run"), post.drop("run")
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, term, tf) of the newest version of every document that is not deleted."""
-    return _current(spark, root, runs(spark, root))[1].select("doc_id", "term", "tf")
+    post = _current(spark, root, runs(spark, root))[1]
+    return post.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("doc_id", F.col("p.terms").alias("term"), F.col("p.tfs").cast("long").alias("tf"))
 
 
 def merge(spark: SparkSession, root: str, which: list[tuple[int, int]]) -> None:
