@@ -75,10 +75,13 @@ class FrontierProcessor(StatefulProcessor):
         self.state = handle.getValueState("visit", T.StructType([T.StructField(n, T.LongType()) for n in ("queued", "visited", "due")]))
 
     def _load(self) -> Visit:
-        return Visit(*(None if x is None else int(x) for x in self.state.get())) if self.state.exists() else Visit()
+        self.held = self.state.get() if self.state.exists() else None
+        return Visit(*(None if x is None else int(x) for x in self.held)) if self.held is not None else Visit()
 
     def _save(self, v: Visit) -> None:
-        self.state.update((v.queued, v.visited, v.due))
+        now = (v.queued, v.visited, v.due)  # each call of the state is a message to the JVM, so none if it stays as it was
+        if self.held is None or now != tuple(self.held):
+            self.state.update(now)
 
     @staticmethod
     def _rows(url: str, actions: list[tuple[str, int]]) -> pd.DataFrame:
