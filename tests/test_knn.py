@@ -68,3 +68,18 @@ def test_only_rows_that_may_be_among_the_k_leave_a_block(spark):
     most = np.sort(d, axis=1)[:, 4]
     q, c, dist = KN._closest(x, m, most, 20)
     assert [sorted(c[q == i].tolist()) for i in range(9, 40)] == [sorted(idx[i, :5].tolist()) for i in range(9, 40)]
+
+
+def test_a_test_row_is_sent_once_to_a_block_of_rings(spark):
+    """Where no ring can be left out, copies of the test rows grow with the blocks of training rows, not with the cells."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(11)
+    train = table(spark, rng.normal(size=(400, 16)))
+    test = table(spark, rng.normal(size=(30, 16))).select("id", "vec", F.lit(1e9).alias("most"))
+    piv = KN.pivots(train)
+    for block_rows in (4096, 100):
+        rows, rings = KN.cells(train, piv, block_rows)
+        late = KN._visits(test, piv, rings, 5)
+        assert len(rings) >= len(piv) - 1 and rows.groupBy("block").count().agg(F.max("count")).first()[0] <= block_rows
+        assert late.count() <= 30 * rings["block"].nunique() <= 30 * 2 * 400 / block_rows + 30
+        assert late.agg(F.sum("pairs")).first()[0] > 30 * 350

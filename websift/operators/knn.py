@@ -7,9 +7,12 @@ it then visits the rings that can hold a row within it, and no others.  The resu
 
 Pivots are the training rows with the least hashes, about the square root of their number and at most ``max_pivots``; a
 cell has at most ``MAX_RINGS`` rings, so pivots and ring bounds, which every task holds, are bounded by parameters.  Rings
-of more than ``block_rows`` rows are split by hash, and so are the visitors of a ring, so a task compares about
-``block_rows`` with ``block_rows`` rows, also where a third of all rows are equal.  Rows without a vector have no
-neighbours and are none's; ids are distinct.  For approximate search ``approx_neighbours`` gives the LSH join.
+of cells near each other share a block of at most ``block_rows`` rows, and a test row is sent once to each block with a
+ring that it visits, with a bit for each ring there; so where no ring can be left out, the copies of the test rows grow
+with the training rows over ``block_rows`` and not with the cells.  Rings of more than ``block_rows`` rows are split by
+hash, and so are the visitors of a block, so a task compares about ``block_rows`` with ``block_rows`` / ``VISITS`` rows, also
+where a third of all rows are equal.  Rows without a vector have no neighbours and are none's; ids are distinct.  For
+approximate search ``approx_neighbours`` gives the LSH join.
 """
 
 from __future__ import annotations
@@ -24,8 +27,11 @@ from pyspark.sql import functions as F
 from ..session import by_document, materialize
 
 K = 50
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 65536
+RING_ROWS = 4096
+VISITS = 8  # training rows of a task for each of its visitors
 CHUNK = 256
+SLICE = 2048  # training rows whose distances from a chunk are held at once
 MAX_PIVOTS = 1024
 MAX_RINGS = 16
 SLACK = 1e-9  # of rounding in the bounds; visits one ring too many rather than one too few
@@ -49,22 +55,47 @@ def pivots(train: DataFrame, max_pivots: int = MAX_PIVOTS) -> np.ndarray:
 
 
 def cells(train: DataFrame, piv: np.ndarray, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, pd.DataFrame]:
-    """Training rows (id, vec, label, cell, ring, salt), and the rings (cell, ring, n, lo, hi, salts)."""
+    """Training rows (id, vec, label, cell, ring, block, at), and the rings (cell, ring, n, lo, hi, block, salts, at)."""
     def nearest(batches):
         for b in batches:
             parts = [_distances(_matrix(b["vec"][s:s + CHUNK]), piv) for s in range(0, len(b), CHUNK)]
             d = np.concatenate(parts) if parts else np.zeros((0, len(piv)))
             yield b.assign(cell=d.argmin(axis=1).astype(np.int32), dist=d.min(axis=1))
+    spark = train.sparkSession
     schema = f"id long, vec {dict(train.dtypes)['vec']}, label int, cell int, dist double"
     rows = materialize(train.select("id", "vec", F.col("label").cast("int").alias("label")).mapInPandas(nearest, schema))
     size = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("dist").alias("from"), F.max("dist").alias("to")) \
-        .withColumn("rings", F.least(F.lit(MAX_RINGS), F.ceil(F.col("n") / block_rows)).cast("int")).drop("n")
+        .withColumn("rings", F.least(F.lit(MAX_RINGS), F.ceil(F.col("n") / min(block_rows, RING_ROWS))).cast("int")).drop("n")
     place = F.when(F.col("to") > F.col("from"), F.floor((F.col("dist") - F.col("from")) / (F.col("to") - F.col("from")) * F.col("rings"))).otherwise(0)
-    rows = rows.join(size, "cell").withColumn("ring", F.least(place, F.col("rings") - 1).cast("int")).drop("from", "to", "rings")
-    rings = materialize(rows.groupBy(*RING).agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-                        .withColumn("salts", F.ceil(F.col("n") / block_rows).cast("int")))
-    salted = rows.join(rings.select(*RING, "salts"), RING).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    return materialize(salted.drop("dist")), rings.orderBy(*RING).toPandas()
+    # one row a cell, then one row a ring: bounded by the parameters, hence broadcast
+    rows = rows.join(F.broadcast(materialize(size)), "cell") \
+        .withColumn("ring", F.least(place, F.col("rings") - 1).cast("int")).drop("from", "to", "rings")
+    rings = _blocks(rows.groupBy(*RING).agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).toPandas(),
+                    piv, block_rows)
+    placed = spark.createDataFrame(rings[[*RING, "block", "salts", "at"]], "cell int, ring int, block int, salts int, at int")
+    rows = rows.join(F.broadcast(placed), RING) \
+        .withColumn("block", (F.col("block") + F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int")).drop("dist", "salts")
+    return rows, rings
+
+
+def _blocks(rings: pd.DataFrame, piv: np.ndarray, block_rows: int) -> pd.DataFrame:
+    """``rings`` with the block of each, and its number ``at`` there; a ring of more than ``block_rows`` rows has the
+    ``salts`` blocks from ``block`` on for itself."""
+    d = _distances(piv, piv[:math.isqrt(len(piv))])
+    cell = rings["cell"].to_numpy()
+    rings = rings.assign(head=d.argmin(axis=1)[cell], far=d.min(axis=1)[cell]).sort_values(["head", "far", *RING]).drop(columns=["head", "far"])
+    salts = -(-rings["n"].to_numpy() // block_rows)
+    block, at, room, after = [], [], 0, 0
+    for n, parts in zip(rings["n"].tolist(), salts.tolist()):
+        if n <= room:
+            block.append(after - 1)
+            at.append(at[-1] + 1)
+            room -= n
+        else:
+            block.append(after)
+            at.append(0)
+            after, room = after + parts, block_rows - n  # none is left beside a ring with several blocks
+    return rings.assign(block=block, salts=salts, at=at).reset_index(drop=True)
 
 
 def _bounds(vecs: np.ndarray, piv: np.ndarray, between: np.ndarray, rings: pd.DataFrame):
@@ -79,10 +110,12 @@ def _bounds(vecs: np.ndarray, piv: np.ndarray, between: np.ndarray, rings: pd.Da
 
 
 def _visits(test: DataFrame, piv: np.ndarray, rings: pd.DataFrame, k: int) -> DataFrame:
-    """(id, vec, most, cell, ring) to visit: with a column ``most`` (a squared distance) in ``test`` the rings within it,
-    without the first ones."""
+    """(id, vec, most, block, salts, need, pairs) to visit: with a column ``most`` (a squared distance) in ``test`` the rings
+    within it, without the first ones.  ``need`` has a bit for each ring of the block, ``pairs`` is the rows in those to visit."""
     between = _distances(piv, piv)
-    n, cell, ring = (rings[c].to_numpy() for c in ("n", "cell", "ring"))
+    n = rings["n"].to_numpy()
+    blocks = [(b, np.flatnonzero(rings["block"].to_numpy() == b)) for b in pd.unique(rings["block"])]
+    salts = rings["salts"].to_numpy()
     later = "most" in test.columns
 
     def visit(batches):
@@ -97,57 +130,96 @@ def _visits(test: DataFrame, piv: np.ndarray, rings: pd.DataFrame, k: int) -> Da
                 if later:
                     r = np.sqrt(part["most"].to_numpy()[:, None])
                     chosen = ~chosen & (least <= r * (1 + SLACK) + SLACK)
-                q, g = np.nonzero(chosen)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[q], "vec": part["vec"].to_numpy()[q],
-                                    "most": part["most"].to_numpy()[q] if later else np.inf, "cell": cell[g], "ring": ring[g]})
-    return test.mapInPandas(visit, f"id long, vec {dict(test.dtypes)['vec']}, most double, cell int, ring int")
+                for block, own in blocks:
+                    here = chosen[:, own]
+                    q = np.flatnonzero(here.any(axis=1))
+                    if len(q):
+                        yield pd.DataFrame({"id": part["id"].to_numpy()[q], "vec": part["vec"].to_numpy()[q],
+                                            "most": part["most"].to_numpy()[q] if later else np.inf, "block": block, "salts": salts[own[0]],
+                                            "need": [bits.tobytes() for bits in np.packbits(here[q], axis=1)], "pairs": here[q] @ n[own]})
+    return test.mapInPandas(visit, f"id long, vec {dict(test.dtypes)['vec']}, most double, block int, salts int, need binary, pairs long")
+
+
+def _first(q: np.ndarray, c: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` first entries of each ``q`` by (d, c)."""
+    order = np.lexsort((c, d, q))
+    q, c, d = q[order], c[order], d[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+    return q[first], c[first], d[first]
 
 
-def _closest(x: np.ndarray, m: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of m, squared distance) of the k first rows of ``m`` by (distance, row) that are within ``most``.
+def _closest(x: np.ndarray, m: np.ndarray, most: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of m, squared distance) of the k first rows of ``m`` by (distance, row) that are within ``most`` and,
+    if given, ``allowed``.
 
     A matrix product gives every squared distance up to rounding; only the rows that may be among the k are then measured
-    exactly.  Rows with non-finite numbers are all measured."""
+    exactly.  Rows with non-finite numbers are all measured.  ``m`` is taken in slices, each bounded by what was found."""
+    q, c, d = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
     with np.errstate(all="ignore"):
         xx, mm = (x * x).sum(axis=1), (m * m).sum(axis=1)
-        near = xx[:, None] + mm[None, :] - 2.0 * (x @ m.T)
         slack = 16 * (x.shape[1] + 8) * np.finfo(np.float64).eps * (xx + mm.max())
-        far = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1], most) + slack
-        chosen = near <= far[:, None]
-        chosen |= ~np.isfinite(xx + mm.max())[:, None]
-        q, c = np.nonzero(chosen)
-        d = np.concatenate([((x[q[s:s + CHUNK * CHUNK]] - m[c[s:s + CHUNK * CHUNK]]) ** 2).sum(axis=1)
-                            for s in range(0, max(len(q), 1), CHUNK * CHUNK)])
-        kept = ~(d > most[q])
-    q, c, d = q[kept], c[kept], d[kept]
-    order = np.lexsort((c, d, q))
-    q, c, d = q[order], c[order], d[order]
-    first = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
-    return q[first], c[first], d[first]
+        odd = ~np.isfinite(xx + mm.max())
+        left, right = np.column_stack([-2.0 * x, xx, np.ones(len(x))]), np.column_stack([m, np.ones(len(m)), mm])
+        bound, reduced = most, 0
+        for s in range(0, len(m), SLICE):
+            near = left @ right[s:s + SLICE].T
+            if allowed is not None:
+                near[~allowed[:, s:s + SLICE]] = np.inf
+            chosen = near <= (bound + slack)[:, None]
+            if k < near.shape[1] and np.count_nonzero(chosen) > 2 * k * len(x):
+                chosen = near <= (np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1], bound) + slack)[:, None]
+            if odd.any():
+                chosen |= odd[:, None]
+            if allowed is not None:
+                chosen &= allowed[:, s:s + SLICE]
+            i, j = np.divmod(np.flatnonzero(chosen), chosen.shape[1])
+            j += s
+            e = np.concatenate([((x[i[t:t + CHUNK * CHUNK]] - m[j[t:t + CHUNK * CHUNK]]) ** 2).sum(axis=1)
+                                for t in range(0, max(len(i), 1), CHUNK * CHUNK)])
+            kept = ~(e > bound[i])
+            q, c, d = np.concatenate([q, i[kept]]), np.concatenate([c, j[kept]]), np.concatenate([d, e[kept]])
+            if len(q) > reduced + 2 * k * len(x) or not s:
+                q, c, d = _first(q, c, d, k)
+                reduced = len(q)
+                end = np.searchsorted(q, np.arange(len(x)), side="right") - 1
+                full = np.flatnonzero(np.bincount(q, minlength=len(x)) == k)
+                bound = bound.astype(np.float64)
+                bound[full] = np.fmin(bound[full], d[end[full]])
+    return _first(q, c, d, k)
 
 
 def _nearest(visits: DataFrame, rows: DataFrame, k: int, block_rows: int) -> DataFrame:
     """(id, nb_id, nb_label, dist2): the k nearest rows of each visited block that are not farther than the visitor's
     ``most``; ties by training id."""
-    parts = visits.groupBy(*RING).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    salts = rows.select(*RING, "salts").distinct()
-    v = visits.join(parts, RING).join(salts, RING).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) \
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("parts", "salts")
-    t = rows.join(parts, RING).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "salts")
+    v = visits.withColumn("block", F.explode(F.sequence(F.col("block"), F.col("block") + F.col("salts") - 1)))
+    # one row for each ``block_rows`` training rows, hence broadcast
+    parts = F.broadcast(v.groupBy("block").agg(F.ceil(F.count("*") / max(1, block_rows // VISITS)).cast("int").alias("parts")))
+    v = v.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")) \
+        .select("block", "part", "id", "vec", "most", "need")
+    t = rows.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
+        .select("block", "part", "id", "vec", "label", "at")
 
     def topk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"id": [], "nb_id": [], "nb_label": [], "dist2": []})
         right = right.sort_values("id", kind="mergesort")
-        m, nb, label = _matrix(right["vec"]), right["id"].to_numpy(), right["label"].to_numpy()
+        m, nb, label, at = _matrix(right["vec"]), right["id"].to_numpy(), right["label"].to_numpy(), right["at"].to_numpy()
+        left = left.sort_values("need", kind="mergesort")  # rows of a chunk visit the same rings, where they can
+        need = np.unpackbits(np.frombuffer(b"".join(left["need"]), dtype=np.uint8).reshape(len(left), -1), axis=1).astype(bool)
+        there = np.unique(at)
         out = []
         for s in range(0, len(left), CHUNK):
-            q = left.iloc[s:s + CHUNK]
+            q, asked = left.iloc[s:s + CHUNK], need[s:s + CHUNK]
+            cols = slice(None) if asked[:, there].any(axis=0).all() else np.flatnonzero(asked.any(axis=0)[at])
+            near, ids, labels, of = m[cols], nb[cols], label[cols], at[cols]
+            if not len(ids):
+                continue
             # ties by training id: the right side is id-sorted
-            i, j, d = _closest(_matrix(q["vec"]), m, q["most"].to_numpy(), min(k, len(right)))
-            out.append(pd.DataFrame({"id": q["id"].to_numpy()[i], "nb_id": nb[j], "nb_label": label[j], "dist2": d}))
-        return pd.concat(out, ignore_index=True)
-    key = [*RING, "salt", "part"]
+            i, j, d = _closest(_matrix(q["vec"]), near, q["most"].to_numpy(), min(k, len(ids)),
+                               None if asked[:, np.unique(of)].all() else asked[:, of])
+            out.append(pd.DataFrame({"id": q["id"].to_numpy()[i], "nb_id": ids[j], "nb_label": labels[j], "dist2": d}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"id": [], "nb_id": [], "nb_label": [], "dist2": []})
+    key = ["block", "part"]
     return v.groupBy(*key).cogroup(t.groupBy(*key)).applyInPandas(topk, "id long, nb_id long, nb_label int, dist2 double")
 
 
@@ -161,9 +233,9 @@ def neighbours(test: DataFrame, train: DataFrame, k: int = K, block_rows: int =
     """(id, nb_id, nb_label, dist2, rank) for the k nearest training rows of each test row; ties by training id.
 
     Both inputs: (id, vec ARRAY<FLOAT|DOUBLE>, label).  ``report`` receives the pairs compared and the pairs there are."""
-    # spread, as a small file is a single task
-    test, train = (by_document(d.select("id", "vec", "label").where("vec is not null"), "id") for d in (test, train))
+    test, train = (d.select("id", "vec", "label").where("vec is not null") for d in (test, train))
     piv = pivots(train, max_pivots)
+    test, train = (by_document(d, "id") for d in (test, train))  # spread, as a small file is a single task
     if not len(piv):
         return train.select("id", F.col("id").alias("nb_id"), F.col("label").cast("int").alias("nb_label"),
                             F.lit(0.0).alias("dist2"), F.lit(0).alias("rank")).where("false")
@@ -174,8 +246,7 @@ def neighbours(test: DataFrame, train: DataFrame, k: int = K, block_rows: int =
     kth = seen.groupBy("id").agg(F.max("dist2").alias("most"))
     late = materialize(_visits(test.select("id", "vec").join(kth, "id"), piv, rings, k))
     if report is not None:
-        size = rows.groupBy(*RING).agg(F.count("*").alias("n"))
-        report["compared"] = early.unionByName(late).join(size, RING).agg(F.sum("n")).first()[0] or 0
+        report["compared"] = early.unionByName(late).agg(F.sum("pairs")).first()[0] or 0
         report["pairs"] = test.count() * train.count()
     return _first_k(seen.unionByName(_nearest(late, rows, k, block_rows)), k)
 
