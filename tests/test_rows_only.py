@@ -99,3 +99,25 @@ def test_more_like_this_in_blocks_shuffles_no_pairs(spark):
     assert sorted((r.seed_id, r.pos, r.doc_id, r.score) for r in df.collect()) == sorted(want)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(seed_id#\d+L?, doc_id", plan)
+
+
+def test_raw_tfidf_shuffles_no_row_of_a_frequent_term(spark):
+    """Weights and norms equal ``tfidf``, also with repeated and null ids; the nearest documents are the same."""
+    from pyspark.sql import functions as F
+    from websift.operators import features as FE
+    from websift.operators import relevance as RV
+    from websift.session import materialize
+    docs = [(i, f"common words w{i % 7} v{i % 3} " * (1 + i % 4) + f"own{i}") for i in range(40)] + [(3, "common again"), (None, "words own3"), (90, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    post, n = materialize(FE.feature_postings(df)), len(docs)
+    want = {(r.doc_id, r.term): r.weight for r in FE.tfidf(post, n, vocab_size=None).collect()}
+    seeds = spark.createDataFrame([(3,), (3,), (8,), (None,), (77,)], "doc_id long")
+    near = sorted(RV.more_like_this(seeds, FE.tfidf(post, n, vocab_size=None).persist(), top_terms=4, n=3).collect())
+    for common in (0, 6, 1 << 18):
+        w, norms = FE.raw_tfidf(post, n, common)
+        got = {(r.doc_id, r.term): r.weight / r.norm for r in w.join(norms, w.doc_id.eqNullSafe(norms.doc_id)).select(w.doc_id, "term", "weight", "norm").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+        assert w.where("common").select("term").distinct().count() <= common
+        plan = w.where(F.col("common"))._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan.replace("BroadcastExchange", "")
+        assert sorted(RV.more_like_this(seeds, w, top_terms=4, n=3, doc_block=16, norms=norms).collect()) == near
